@@ -5,26 +5,85 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import langid, mixing, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_epochs=2)
+    return mix.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
+OP1_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 16384 AS bucket,
+         (CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 9, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS chance
+  FROM documents),
+buckets AS (SELECT source, bucket, CAST(sum(size) AS BIGINT) AS mass, count(*) AS n FROM sized GROUP BY source, bucket),
+sources AS (
+  SELECT source, CAST(sum(mass) AS BIGINT) AS source_size FROM buckets GROUP BY source),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY encode(source) ASC NULLS LAST) AS rank FROM sources),
+weighted AS (
+  SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST((rank - 1) % 3 AS BIGINT) + 1] AS weight, source_size * 2.0::DOUBLE AS cap,
+         (SELECT sum(source_size) FROM sources) * 1.5::DOUBLE AS budget FROM ranked),
+filled AS (
+  SELECT *, budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS remaining,
+         sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM weighted),
+marked AS (SELECT *, cap * open <= remaining * weight AS is_full FROM filled),
+planned AS (
+  SELECT source, source_size, CASE WHEN is_full THEN cap ELSE
+    (budget - coalesce((SELECT sum(cap) FROM marked WHERE is_full), 0.0::DOUBLE)) * weight / (SELECT sum(weight) FROM marked WHERE NOT is_full) END AS target
+  FROM marked),
+whole AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM planned),
+needed AS (SELECT *, target - whole * source_size AS need FROM whole),
+running AS (
+  SELECT *, CAST(sum(mass) OVER (PARTITION BY source ORDER BY bucket) AS BIGINT) AS upto FROM buckets),
+edges AS (
+  SELECT n.source, min(r.bucket) AS edge FROM needed n JOIN running r ON r.source IS NOT DISTINCT FROM n.source AND r.upto > n.need GROUP BY n.source),
+plan AS (
+  SELECT n.*, coalesce(e.edge, 16384) AS edge, (n.need - (r.upto - r.mass)) / r.mass AS part, r.n = 1 AS alone
+  FROM needed n LEFT JOIN edges e ON e.source IS NOT DISTINCT FROM n.source
+  LEFT JOIN running r ON r.source IS NOT DISTINCT FROM n.source AND r.bucket = e.edge)
+SELECT s.doc_id, s.size, p.source_size, p.target,
+       s.size * (p.whole + CASE WHEN s.bucket < p.edge OR (s.bucket = p.edge AND CASE WHEN p.alone THEN 0.5 ELSE s.chance END <= p.part) THEN 1 ELSE 0 END) AS taken
+FROM sized s JOIN plan p ON p.source IS NOT DISTINCT FROM s.source
+"""
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    parser = langid.learned(docs.where(fold != 0), "text", "lang", F.col("doc_id"))
+    rows = docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
+    return langid.identify(rows, parser, keep=["doc_id", "held_out"])
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, distance=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("fp", 1)), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.repetition_stats(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return quality.judged(stats)
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_language_id": op2_language_id,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_packing": op6_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL}

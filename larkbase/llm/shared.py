@@ -103,3 +103,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now
     roots = stars.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: Column | str | list[str], how: str = "inner", most: int = 100_000) -> DataFrame:
+    """Join with a table that is usually small: broadcast if it has at most ``most`` rows, else an ordinary join.
+
+    ``small`` is written once, so that its size is known before the choice.
+    """
+    small = written(small, "small")
+    return rows.join(F.broadcast(small) if small.count() <= most else small, on, how)
