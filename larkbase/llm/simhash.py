@@ -9,9 +9,7 @@ which they differ by at most r // segments bits, so each fingerprint looks up th
 of its segments in the table of segments, and complete distances are verified in the join. Lookups are made by
 distinct fingerprints, so copies are never paired with one another.
 
-To keep groups of near copies from being expanded into all their pairs, links are gathered in two passes: first
-each table entry's smallest fingerprint with everything that looked it up; then, between what is not yet
-connected, every remaining pair. No link between different components is lost.
+Groups of near copies are not expanded into all their pairs; see ``links``.
 """
 
 from __future__ import annotations
@@ -26,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .links import bucket_links
 from .shared import connected_components, written
 
 #: For each byte value, its eight bits as eight byte-wide counters.
@@ -100,34 +99,16 @@ def links(distinct: DataFrame, parts: int, segments: int, segment_bits: int, seg
     Exact if every pair within ``distance`` has a segment within ``segment_radius`` bits, as when the segments
     cover the fingerprint and distance < segments * (segment_radius + 1).
     """
-    # Lookups carry one word of the fingerprint; with more words, a loose bound on that one comes first.
+    # One word of the fingerprint is compared in the lookup; with more words, loosely, before all of it is verified.
     word_distance = distance if parts == 1 else min(32, distance // parts + round(4 * (distance / parts) ** 0.5))
-    base = distinct.select("id", F.element_at("fp", 1).alias("w"), "fp")
+    words = distinct.select("id", F.element_at("fp", 1).alias("w"))
     keys = F.array(*[_segment("fp", i * segment_bits, segment_bits).bitwiseOR(F.lit(i << segment_bits)) for i in range(segments)])
-    table = base.select("id", "w", F.explode(keys).alias("key"))
     flips = [0] + [sum(1 << x for x in c) for r in range(1, segment_radius + 1) for c in combinations(range(segment_bits), r)]
     ball = F.array(*[F.lit(x).cast("long") for x in flips])
-    probes = table.select(F.col("id").alias("a"), F.col("w").alias("w_a"), F.explode(F.transform(ball, lambda x: F.col("key").bitwiseXOR(x))).alias("key"))
-    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= word_distance
-
-    # First pass: every lookup against the smallest entry of its bucket. Lookups of fuller buckets are kept for later.
-    buckets = table.groupBy("key").agg(F.min(F.struct("id", "w")).alias("least"), F.count("*").alias("n"))
-    buckets = buckets.select(F.col("key").alias("k"), F.col("least.id").alias("b"), F.col("least.w").alias("w_b"), "n")
-    hit = (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & (close("w_a", "w_b") | (F.col("n") > 1))
-    hits = written(probes.join(buckets.hint("shuffle_hash"), hit).select("a", "w_a", "key", "b", "n", close("w_a", "w_b").alias("near")), "simhash-hits")
-    stars = _verified(hits.where("near").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), distinct, parts, distance)
-    stars = written(stars, "simhash-stars")
-
-    # Second pass: within fuller buckets, all pairs that the first one left unconnected.
-    component = written(connected_components(stars), "simhash-components")
-    of = lambda rows, name: rows.join(component.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}")), name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
-    fuller = hits.where("n > 1").select("a", "w_a", "key")
-    entries = table.select(F.col("id").alias("b"), F.col("w").alias("w_b"), F.col("key").alias("k")).join(
-        fuller.select(F.col("key").alias("k")).distinct(), "k", "left_semi"
-    )
-    rest = of(fuller, "a").join(of(entries, "b"), (F.col("key") == F.col("k")) & (F.col("c_a") != F.col("c_b")) & close("w_a", "w_b"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return stars.unionByName(_verified(rest, distinct, parts, distance))
+    lookups = distinct.select("id", F.explode(keys).alias("segment")).select("id", "segment", F.explode(ball).alias("flip"))
+    lookups = lookups.select("id", F.col("segment").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("own"))
+    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= word_distance
+    return bucket_links(lookups, words, close, lambda pairs: _verified(pairs, distinct, parts, distance))
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, parts: int, distance: int) -> DataFrame:
