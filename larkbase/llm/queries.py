@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, mixing, packing, quality, simhash
+from . import chat, exact_dedup, langid, line_dedup, mixing, packing, quality, sharding, simhash, surrogates
+from .shared import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +75,17 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("fp", 1)), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table arrives, is compacted, and each document tells its shard in the newest version."""
+    store = sharding.ShardStore(spark, scratch_path(spark, "shards"))
+    store.append(_table(spark, sf_dir, "documents"))
+    version = store.compact()
+    live = store.manifest(version).select(F.col("shard").alias("path"), "rows", "bytes", "tier")
+    docs = store.read(version).select("doc_id", F.col("_metadata.file_path").alias("path"))
+    named = docs.join(F.broadcast(live) if live.count() <= 100_000 else live, "path")
+    return named.select("doc_id", F.element_at(F.split("path", "/"), -1).alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier", F.lit(version).cast("long").alias("version"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -91,19 +103,31 @@ FROM t JOIN g ON g.body = t.body
 """
 
 
+def op8_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.repetition_stats(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return quality.judged(stats)
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, key="a key for tests; take yours from a vault")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_chat_quotes": op8_chat_quotes,
     "op9_quality_rules": op9_quality_rules,
+    "op10_surrogates": op10_surrogates,
 }
 
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op7_exact_dedup": OP7_SQL}

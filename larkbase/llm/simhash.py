@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .links import bucket_links
-from .shared import connected_components, written
+from .shared import connected_components, key_filter, passing, written
 
 #: For each byte value, its eight bits as eight byte-wide counters.
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -144,3 +144,25 @@ def near_duplicates(
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(grouped.join(least, "component").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Fingerprints for word shingles of five at a similarity of 0.8: 512 bits, of which 12 segments of 22 bits are looked
+#: up with their balls of radius 1. Jaccard similarity s of shingle sets is a cosine of about 2s / (1 + s), so 0.8 is
+#: an expected distance of 512 * acos(8 / 9) / pi = 77.6 bits, give or take 8.
+WIDE = {"shingle_words": 5, "parts": 8, "segments": 12, "segment_bits": 22, "segment_radius": 1, "distance": 78}
+
+
+def representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **settings: int) -> DataFrame:
+    """The documents without all but one of each group of near-duplicates, with their own columns only.
+
+    The row with the smallest id of a group stays, with every row that repeats its id. A group whose ids are all
+    null stays. Settings are those of near_duplicates, by default WIDE.
+    """
+    found = near_duplicates(docs, text_col, id_col, **(WIDE | settings))
+    gone = written(found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct(), "simhash-gone")
+    rows = docs.withColumn("__key", F.xxhash64(F.col(f"`{id_col}`")))
+    gone = gone.select(F.xxhash64("doc_id").alias("__key"))
+    # Documents that surely stay are not moved.
+    filtered = key_filter(gone, "__key")
+    maybe = passing(rows, "__key", filtered).join(gone, "__key", "left_anti")
+    return maybe.unionByName(passing(rows, "__key", filtered, absent=True)).select(*[F.col(f"`{c}`") for c in docs.columns])
