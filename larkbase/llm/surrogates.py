@@ -35,25 +35,32 @@ SURNAMES = {
 
 _T = "|".join(t.replace(".", r"\.") for x in TITLES.values() for t in x)
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
-#: Patterns by kind, in order of preference. Each begins where it can be refused at once.
-PATTERNS = {
-    "secret": r'(?<=(?i:token|secret|password|api_key) ?[=:] ?")[^"\s]{8,256}(?=")',
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\p{L}\p{N}])",
-    "ip": r"(?<![\p{L}\p{N}.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?[\p{L}\p{N}])",
-    "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "given": rf"(?<=(?<!\p{{L}})(?:{_T}) ){_NAME}(?= \p{{Lu}})",
-    "surname": rf"(?<=(?<!\p{{L}})(?:{_T}) (?:{_NAME} )?){_NAME}",
-}
-ANY = "|".join(PATTERNS.values())
+# Patterns by kind, in order of preference. Each group begins with what one character refuses at almost every place.
+_QUOTED = r'(?<=")(?<=(?i:token|secret|password|api_key) ?[=:] ?")[^"\s]{8,256}(?=")'
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+_PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])"
+_CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\p{L}\p{N}])"
+_IP = r"(?<![\p{L}\p{N}.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?[\p{L}\p{N}])"
+_SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
+_IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+_GIVEN = rf"(?<= )(?<=(?<!\p{{L}})(?:{_T}) ){_NAME}(?= \p{{Lu}})"
+_SURNAME = rf"(?<= )(?<=(?<!\p{{L}})(?:{_T}) (?:{_NAME} )?){_NAME}"
+ANY = rf"{_QUOTED}|{_EMAIL}|(?=[0-9+(])(?:{_PHONE}|{_CARD}|{_IP}|{_SSN})|(?=\p{{Lu}})(?:{_IBAN}|{_GIVEN}|{_SURNAME})"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 #: Rounds after which a replacement may be an entity of the corpus, and may grow if its kind allows that.
 CROWDED = 8
 
 
+def may_have_entities(text: Column) -> Column:
+    """False only for texts in which no pattern can match: no digit, no @, no secret's quote and no title."""
+    words = ['="', '= "', ':"', ': "', *(f"{t} " for x in TITLES.values() for t in x)]
+    found = text.rlike("[0-9@]")
+    for word in words:
+        found = found | F.contains(text, F.lit(word))
+    return found
+
+
 def _kind(match: Column, before: Column) -> Column:
     """The kind of a match, by what it looks like and by what stands before it."""
     kind = F.when(before.rlike('(?i:token|secret|password|api_key) ?[=:] ?"$'), "secret").when(F.contains(match, F.lit("@")), "email")
@@ -176,6 +183,23 @@ def _written_like(kind: Column, match: Column, found: Column) -> Column:
     )
 
 
+#: Characters that mark matches in a text while it is cut; texts that have them are cut another way.
+_OPEN, _CLOSE = "\u0001", "\u0002"
+
+
+def _pieces(text: Column) -> Column:
+    """A text cut at its matches: gap, match, gap, ..., gap. One pass of the patterns marks them."""
+    marked = F.regexp_replace(text, f"({ANY})", f"{_OPEN}$1{_CLOSE}")
+    both = F.zip_with(F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda gap, match: F.array(gap, match))
+    other = F.array_compact(F.flatten(both))
+    return F.when(text.rlike(f"[{_OPEN}{_CLOSE}]"), other).otherwise(F.split(marked, f"[{_OPEN}{_CLOSE}]", -1))
+
+
+def _match_at(i: Column) -> Column:
+    match = F.get(F.col("__pieces"), i).alias("match")
+    return F.struct(i.alias("pos"), match, F.right(F.get(F.col("__pieces"), i - 1), F.lit(24)).alias("before"))
+
+
 def surrogate_book(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canonical, found): one replacement for each distinct entity (kind, canonical), no two of a kind alike.
 
@@ -211,17 +235,21 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", id_col:
     columns = [c for c in docs.columns if c != "n_entities"]
     text = F.col(f"`{text_col}`")
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(F.col(f"`{id_col}`"), text).alias("__row"))
-    found = rows.select(F.col("__row").alias("row"), text.alias("text"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("matches")).where(F.size("matches") > 0)
-    found = found.select("row", F.split("text", ANY, -1).alias("gaps"), "matches").select("row", "gaps", F.posexplode("matches").alias("pos", "match"))
-    found = found.withColumn("kind", _kind(F.col("match"), F.right(F.get("gaps", F.col("pos")), F.lit(24)))).drop("gaps")
-    found = written(found.withColumn("canonical", _canonical(F.col("kind"), F.col("match"))).distinct(), "surrogate-found")
+    cut = written(rows.where(may_have_entities(text)).withColumn("__pieces", _pieces(text)).where(F.size("__pieces") > 1), "surrogate-cut")
+    places = F.sequence(F.lit(1), F.size("__pieces") - 2, F.lit(2))
+    found = cut.select(F.col("__row").alias("row"), F.explode(F.transform(places, _match_at)).alias("m")).select("row", "m.*")
+    found = found.withColumn("kind", _kind(F.col("match"), F.col("before"))).drop("before").dropDuplicates(["row", "pos"])
+    found = written(found.withColumn("canonical", _canonical(F.col("kind"), F.col("match"))), "surrogate-found")
     book = surrogate_book(found, key)
     named = join_small(found, book, ["kind", "canonical"])
     named = named.select("row", "pos", _written_like(F.col("kind"), F.col("match"), F.col("found")).alias("new"))
-    lists = written(named.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("news")), "surrogate-lists")
-    filtered = key_filter(lists, "row")
-    touched = passing(rows, "__row", filtered).join(lists.withColumnRenamed("row", "__row"), "__row", "left")
-    same = passing(rows, "__row", filtered, absent=True).withColumn("news", F.lit(None).cast(lists.schema["news"].dataType))
-    pieces = F.zip_with(F.split(text, ANY, -1), "news", lambda gap, n: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(n["new"], F.lit(""))))
-    new = {c: F.col(f"`{c}`") for c in columns} | {text_col: F.when(F.col("news").isNull(), text).otherwise(F.array_join(pieces, ""))}
-    return touched.unionByName(same).select(*[x.alias(c) for c, x in new.items()], F.when(F.col("news").isNull(), 0).otherwise(F.size("news")).cast("long").alias("n_entities"))
+    lists = written(named.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("__news")), "surrogate-lists")
+    piece = lambda p, i: F.when(i % 2 == 1, F.get(F.col("__news"), F.floor(i / 2).cast("int"))["new"]).otherwise(p)
+    new = {c: F.col(f"`{c}`") for c in columns}
+    changed = cut.join(lists, "__row").select(
+        *[x.alias(c) for c, x in (new | {text_col: F.array_join(F.transform("__pieces", piece), "")}).items()], F.size("__news").cast("long").alias("n_entities")
+    )
+    filtered = key_filter(lists, "__row")
+    maybe = passing(rows, "__row", filtered).join(lists.select("__row"), "__row", "left_anti")
+    same = passing(rows, "__row", filtered, absent=True).unionByName(maybe)
+    return changed.unionByName(same.select(*[x.alias(c) for c, x in new.items()], F.lit(0).cast("long").alias("n_entities")))
