@@ -80,9 +80,12 @@ class CrossParser:
             for text in samples[language]:
                 symbols += self.symbols(text).tolist()
             table = suffix_automaton(symbols, self.alphabet)
-            root = np.where(table[0] >= 0, table[0], 0) * self.alphabet
-            moves = np.where(table >= 0, table * self.alphabet, root[None, :] | _PHRASE).astype(np.int32)
-            self.tables.append(moves.ravel())
+            # Where a phrase ends, the next begins at the root. One more state comes before a text and after a symbol
+            # that the sample does not have, which is a phrase by itself.
+            before = len(table)
+            restart = (np.where(table[0] >= 0, table[0], before) * self.alphabet) | _PHRASE
+            moves = np.where(table >= 0, table * self.alphabet, restart[None, :])
+            self.tables.append((np.concatenate((moves, restart[None, :])).astype(np.int32).ravel(), before * self.alphabet))
 
     def symbols(self, text: str) -> np.ndarray:
         """Lower-cased letters as symbols, each run of other characters as one 0; 0 at both ends."""
@@ -103,13 +106,13 @@ class CrossParser:
         columns = np.ascontiguousarray(flat.T)
         alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, len(columns) + 1), "left")
         out = np.zeros((len(texts), len(self.tables)), np.int64)
-        for j, moves in enumerate(self.tables):
-            state, ended = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int32)
+        for j, (moves, before) in enumerate(self.tables):
+            state, begun = np.full(len(sizes), before, np.int32), np.zeros(len(sizes), np.int32)
             for symbols, n in zip(columns, alive.tolist(), strict=True):
                 to = moves[state[:n] + symbols[:n]]
-                ended[:n] += to >= _PHRASE
+                begun[:n] += to >= _PHRASE
                 state[:n] = to & (_PHRASE - 1)
-            out[:, j] = np.bincount(owner, weights=ended, minlength=len(texts))
+            out[:, j] = np.bincount(owner, weights=begun, minlength=len(texts))
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:

@@ -66,10 +66,10 @@ def mix(
     the same id share their hash and so their fate; null ids are alike. A source without words has target 0.
     Reruns with the same seed agree. A column named mix is replaced.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"])
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"])
     sized = docs.select(
-        "*",
-        F.struct(F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), (_hash(id_col, seed, 0) % BUCKETS).alias("bucket")).alias("mix"),
+        kept.alias("__doc"),
+        F.struct(F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), (_hash(id_col, seed, 0) % BUCKETS).alias("bucket"), _hash(id_col, seed, 1).alias("draw")).alias("mix"),
     )
     filled = written(sized.groupBy("mix.source", "mix.bucket").agg(F.sum("mix.size").alias("mass"), F.count("*").alias("n")), "mix-histogram")
     plan = targets(filled.groupBy("source").agg(F.sum("mass").alias("source_size")), weights, share, max_epochs)
@@ -84,11 +84,11 @@ def mix(
         F.col("p.source").alias("plan_source"), "source_size", "target", "whole", F.coalesce("edge.bucket", F.lit(BUCKETS)).alias("edge"), part.alias("part"), (F.col("edge.n") == 1).alias("alone")
     )
     rows = join_small(sized, plan, F.col("mix.source").eqNullSafe(F.col("plan_source")))
-    chance = F.when(F.col("alone"), F.lit(0.5)).otherwise((_hash(id_col, seed, 1) + 0.5) / 2.0**32)
+    chance = F.when(F.col("alone"), F.lit(0.5)).otherwise((F.col("mix.draw") + 0.5) / 2.0**32)
     more = (F.col("mix.bucket") < F.col("edge")) | ((F.col("mix.bucket") == F.col("edge")) & (chance <= F.col("part")))
     repeats = F.col("whole") + F.when(more, 1).otherwise(0)
     return rows.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        "__doc.*",
         F.struct(F.col("mix.size").alias("size"), "source_size", "target", repeats.alias("repeats"), (F.col("mix.size") * repeats).alias("taken")).alias("mix"),
     )
 

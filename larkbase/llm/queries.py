@@ -109,7 +109,36 @@ def op8_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.repetition_stats(_table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return quality.judged(stats)
+    return quality.judged(stats).drop("longest_repeat")
+
+
+# A position lies in a maximal repeat of ten words and more if it lies in a repeated window of ten words, and the longest
+# repeat has more than a fifth of the words if a window of so many words and one more is repeated.
+OP9_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT r, ws, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i FROM texts),
+windows AS (
+  SELECT r, n, i, CASE WHEN i + 2 <= n THEN count(*) OVER (PARTITION BY r, ws[i:i + 2], i + 2 <= n) > 1 ELSE false END AS w3,
+         CASE WHEN i + 9 <= n THEN count(*) OVER (PARTITION BY r, ws[i:i + 9], i + 9 <= n) > 1 ELSE false END AS w10 FROM places),
+covers AS (
+  SELECT r, max(w3::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3,
+         max(w10::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10 FROM windows),
+covered AS (SELECT r, CAST(sum(c3) AS BIGINT) AS n_repeat_words, CAST(sum(c10) AS BIGINT) AS covered_words FROM covers GROUP BY r),
+long_windows AS (
+  SELECT p.r, md5(array_to_string(p.ws[p.i:p.i + p.n // 5], ' ')) AS h FROM places p JOIN covered c ON c.r = p.r AND c.covered_words > 0 WHERE p.i + p.n // 5 <= p.n),
+too_long AS (SELECT DISTINCT r FROM (SELECT r, h FROM long_windows GROUP BY r, h HAVING count(*) > 1)),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM texts),
+dup_lines AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+stats AS (
+  SELECT x.doc_id, CAST(len(x.ws) AS BIGINT) AS n_words, CAST(length(array_to_string(x.ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(x.t) - length(regexp_replace(x.t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(d.n_dup_lines, 0) AS n_dup_lines,
+         coalesce(c.n_repeat_words, 0) AS n_repeat_words, coalesce(c.covered_words, 0) AS covered_words, l.r IS NOT NULL AS is_long
+  FROM texts x LEFT JOIN covered c ON c.r = x.r LEFT JOIN dup_lines d ON d.r = x.r LEFT JOIN too_long l ON l.r = x.r)
+SELECT * EXCLUDE (is_long), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * covered_words <= 30 * n_words AND NOT is_long AS kept
+FROM stats
+"""
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,4 +159,4 @@ QUERIES = {
     "op10_surrogates": op10_surrogates,
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}

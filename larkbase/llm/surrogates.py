@@ -61,8 +61,8 @@ def may_have_entities(text: Column) -> Column:
     return found
 
 
-def _kind(match: Column, before: Column) -> Column:
-    """The kind of a match, by what it looks like and by what stands before it."""
+def _kind(match: Column, before: Column, after: Column) -> Column:
+    """The kind of a match, by what it looks like and by the gaps around it. A lone name after a title is a surname."""
     kind = F.when(before.rlike('(?i:token|secret|password|api_key) ?[=:] ?"$'), "secret").when(F.contains(match, F.lit("@")), "email")
     kind = kind.when(match.rlike(r"^[A-Z]{2}\d{2}"), "iban").when(match.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
     kind = kind.when(match.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip").when(match.rlike(r"^\d{13,19}$|^\d{4}(?:[ -]\d{4}){3}$"), "card")
@@ -70,7 +70,7 @@ def _kind(match: Column, before: Column) -> Column:
     script = F.when(match.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     for gender, titles in TITLES.items():
         ends = "|".join(t.replace(".", r"\.") for t in titles)
-        kind = kind.when(before.rlike(rf"(?<!\p{{L}})(?:{ends}) $"), F.concat(F.lit("name_"), script, F.lit(f"_{gender}")))
+        kind = kind.when(before.rlike(rf"(?<!\p{{L}})(?:{ends}) $") & (after == " "), F.concat(F.lit("name_"), script, F.lit(f"_{gender}")))
     return kind.otherwise(F.concat(F.lit("surname_"), script))
 
 
@@ -197,7 +197,7 @@ def _pieces(text: Column) -> Column:
 
 def _match_at(i: Column) -> Column:
     match = F.get(F.col("__pieces"), i).alias("match")
-    return F.struct(i.alias("pos"), match, F.right(F.get(F.col("__pieces"), i - 1), F.lit(24)).alias("before"))
+    return F.struct(i.alias("pos"), match, F.right(F.get(F.col("__pieces"), i - 1), F.lit(24)).alias("before"), F.left(F.get(F.col("__pieces"), i + 1), F.lit(2)).alias("after"))
 
 
 def surrogate_book(entities: DataFrame, key: str) -> DataFrame:
@@ -238,7 +238,7 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", id_col:
     cut = written(rows.where(may_have_entities(text)).withColumn("__pieces", _pieces(text)).where(F.size("__pieces") > 1), "surrogate-cut")
     places = F.sequence(F.lit(1), F.size("__pieces") - 2, F.lit(2))
     found = cut.select(F.col("__row").alias("row"), F.explode(F.transform(places, _match_at)).alias("m")).select("row", "m.*")
-    found = found.withColumn("kind", _kind(F.col("match"), F.col("before"))).drop("before").dropDuplicates(["row", "pos"])
+    found = found.withColumn("kind", _kind(F.col("match"), F.col("before"), F.col("after"))).drop("before", "after").dropDuplicates(["row", "pos"])
     found = written(found.withColumn("canonical", _canonical(F.col("kind"), F.col("match"))), "surrogate-found")
     book = surrogate_book(found, key)
     named = join_small(found, book, ["kind", "canonical"])

@@ -1,0 +1,517 @@
+"""Each operator against a brute-force version or hand-made cases: nulls, empty and long texts, ties, repeated rows,
+empty tables, extra columns with clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from larkbase.llm import chat, exact_dedup, langid, line_dedup, mixing, packing, quality, sharding, shared, simhash, surrogates
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def sentence(seed: int, n: int) -> str:
+    pick = random.Random(seed)
+    return " ".join(pick.choice(WORDS) + str(pick.randrange(400)) for _ in range(n))
+
+
+def frame(spark, texts, source=None):
+    rows = [(i, t, "en", source[i] if source else "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# -- shared
+
+
+def test_components_are_smallest_reachable(spark):
+    pick = random.Random(5)
+    edges = [(pick.randrange(300), pick.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    found = {r.node: r.component for r in shared.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: find(x) for x in parent}
+    assert shared.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_key_filter_has_no_false_negatives(spark):
+    rows = spark.range(5000).select(F.col("id").alias("k"), F.lit("x").alias("slot2"))
+    found = shared.key_filter(rows.where("k % 7 = 0"), "k")
+    passed = {r.k for r in shared.passing(rows, "k", found).collect()}
+    absent = {r.k for r in shared.passing(rows, "k", found, absent=True).collect()}
+    assert passed >= set(range(0, 5000, 7)) and not passed & absent and len(passed) + len(absent) == 5000 and len(passed) < 900
+
+
+# -- 1
+
+
+def test_mixing_water_filling_and_totals(spark):
+    pick = random.Random(1)
+    names = ["b", "a", None, "c", "ü"]
+    texts = [sentence(i, pick.choice([1, 3, 20, 200])) for i in range(400)] + [None, "", " \t"]
+    sources = [names[min(4, int(pick.random() ** 3 * 5))] for _ in texts]
+    docs = frame(spark, texts, sources).withColumn("size", F.lit(1)).withColumn("bucket", F.lit(2)).withColumn("target", F.lit("x"))
+    rows = mixing.mix(docs, weights=(3, 1, 2), share=1.5, max_epochs=2).collect()
+    assert len(rows) == len(texts) and rows[0].bucket == 2 and rows[0].target == "x"
+    size: Counter = Counter()
+    for t, s in zip(texts, sources, strict=True):
+        size[s] += len((t or "").split())
+    order = sorted((x for x in size if x is not None), key=lambda x: x.encode()) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), 1.5 * sum(size.values())
+    while True:  # clamp, reshare, until feasible
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > 2 * size[s]]
+        if not over:
+            target |= {s: left * weight[s] / total for s in open_}
+            break
+        for s in over:
+            target[s] = 2.0 * size[s]
+            left -= target[s]
+            open_.discard(s)
+    taken: Counter = Counter()
+    for r in rows:
+        assert r.mix.size == len((r.text or "").split()) and r.mix.source_size == size[r.source]
+        assert r.mix.target == pytest.approx(target[r.source]) and r.mix.taken in (0, r.mix.size, 2 * r.mix.size)
+        taken[r.source] += r.mix.taken
+    assert all(abs(taken[s] - target[s]) <= 201 for s in order)
+    again = {(r.doc_id, r.mix.taken) for r in mixing.mix(docs).collect()}
+    assert again == {(r.doc_id, r.mix.taken) for r in rows}
+    assert mixing.mixed(docs).count() == sum(r.mix.repeats for r in rows)
+    assert mixing.mixed(docs).columns == docs.columns
+    assert mixing.mix(empty(spark)).count() == 0
+    assert {r.mix.taken for r in mixing.mix(frame(spark, [None, ""])).collect()} == {0}
+
+
+# -- 2
+
+
+def test_suffix_automaton_knows_all_substrings():
+    pick = random.Random(2)
+    text = [pick.randrange(3) for _ in range(60)]
+    table = langid.suffix_automaton(text, 3)
+
+    def has(part):
+        state = 0
+        for c in part:
+            state = table[state, c]
+            if state < 0:
+                return False
+        return True
+
+    inside = {tuple(text[i:j]) for i in range(60) for j in range(i + 1, min(60, i + 6) + 1)}
+    for n in range(1, 5):
+        for part in np.ndindex(*[3] * n):
+            assert has(part) == (part in inside)
+
+
+def test_language_by_fewest_phrases(spark):
+    samples = {"en": ["the cat sat on the mat and the dog ran to the house"], "de": ["die katze sitzt auf der matte und der hund rennt zum haus"]}
+    parser = langid.CrossParser(samples)
+    texts = ["The dog and the cat.", "Der Hund und die Katze!", None, "", "123 !?", "the house " * 3000, "ж"]
+    found = parser.predict(texts)
+    assert [x for x, _ in found] == ["en", "de", "und", "und", "und", "en", found[6][0]] and found[6][0] in samples
+    assert all(0 <= y <= 1 for _, y in found)
+
+    def phrases(text, sample):  # greedy longest matches, strip by strip
+        symbols, known = parser.symbols(text).tolist(), parser.symbols(sample).tolist()
+        joined = "".join(map(chr, known))
+        n = 0
+        for k in range(0, len(symbols), langid.STRIP):
+            strip = "".join(map(chr, symbols[k : k + langid.STRIP]))
+            while strip:
+                length = 1
+                while length < len(strip) and strip[: length + 1] in joined:
+                    length += 1
+                strip, n = strip[length:], n + 1
+        return n
+
+    for text in texts[:2] + [texts[5], "cat hund zzz sat katze"]:
+        counts = parser.phrases([parser.symbols(text)])[0].tolist()
+        assert counts == [phrases(text, samples[x][0]) for x in parser.languages]
+    docs = frame(spark, texts).withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit("zz"))
+    rows = langid.identify(docs, parser).collect()
+    assert [r.lang_pred for r in rows] == [x for x, _ in found]
+    assert langid.identify(docs, langid.CrossParser({})).first().lang_pred == "und"
+    assert langid.identify(empty(spark), parser).count() == 0
+    assert langid.learned(empty(spark), "text", "lang", F.col("doc_id")).languages == []
+
+
+# -- 3
+
+
+def test_line_dedup_against_brute_force(spark):
+    base = [sentence(i, 14) for i in range(30)]
+    docs_lines = [base[3 * i : 3 * i + 3] for i in range(10)]
+    docs_lines.append([base[0].upper() + "!!", "short one", base[4], "short one"])  # equal when normalised
+    words = base[7].split()
+    docs_lines.append([" ".join(words[:6] + ["changed"] + words[7:]), base[9] + " tail", "short one"])  # fuzzy
+    texts = ["\n".join(x) for x in docs_lines] + [None, "", "\n\n", base[0] + "\n" + base[0]]
+    docs = frame(spark, texts).withColumn("n_lines", F.lit("x")).withColumn("keys", F.lit(0)).withColumn("slot", F.lit(0))
+    rows = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+    assert len(rows) == len(texts) and rows[0].slot == 0 and rows[0].keys == 0
+    assert all(rows[i].text == texts[i] for i in range(10))
+    assert rows[10].text == "short one\nshort one" and (rows[10].n_lines, rows[10].n_dropped) == (4, 2)
+    assert rows[11].text == "short one" and rows[11].n_dropped == 2
+    assert rows[12].text is None and rows[12].n_lines == 0 and rows[13].text == "" and rows[14].text == "\n\n"
+    assert rows[15].text == "" and rows[15].n_dropped == 2
+    assert line_dedup.line_dedup(empty(spark)).count() == 0
+
+
+def test_line_fingerprints_and_links(spark):
+    pick = random.Random(3)
+    lines = [sentence(i, pick.randrange(3, 40)) for i in range(60)]
+    for i in range(40):
+        words = lines[i].split()
+        words[pick.randrange(len(words))] = "swapped"
+        lines.append(" ".join(words))
+    lines.append(" ".join(f"word{i}" for i in range(3000)))  # a block with more words than the narrow counters hold
+    rows = {(r.doc_id, r.pos): r for r in line_dedup._lines(frame(spark, lines), 5).collect()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keep = [i for i, x in enumerate(lines) if len(x.split()) >= 5]
+    assert sorted(d for d, _ in rows) == keep
+    blocks = {}
+    for i in keep:
+        words = lines[i].split()
+        voters = [w for w in words if len(w) > 4] if sum(len(w) > 4 for w in words) >= 8 else words
+        hashes = {xxhash.xxh64_intdigest(w.encode(), 42) for w in voters}
+        parts = [[h for h in hashes if h >> 62 == b] for b in range(4)]
+        blocks[i] = [sum(1 << x for k in range(7) for x in [9 * k + j for j in range(3)] if 2 * sum(h >> x & 1 for h in p) > len(p)) for p in parts], [len(p) for p in parts]
+        pairs = sum(3 << x for x in range(0, 63, 9))
+        w = sum((blocks[i][0][b] & pairs) << 2 * b for b in range(4))
+        assert rows[i, 0].w == signed(w)
+    shared_keys = lambda a, b: bool({rows[a, 0][f"key{k}"] for k in range(6)} & {rows[b, 0][f"key{k}"] for k in range(6)} - {None})
+    for a, b in combinations(keep, 2):
+        (va, na), (vb, nb) = blocks[a], blocks[b]
+        same = [va[x] == vb[x] and na[x] == nb[x] for x in range(4)]
+        few = [na[x] < 4 for x in range(4)]
+        meet = any(same[x] and not few[x] for x in range(4)) or any(same[x] and same[y] and few[x] and few[y] and na[x] + na[y] >= 3 for x, y in combinations(range(4), 2))
+        assert shared_keys(a, b) == meet, (lines[a], lines[b])
+
+
+# -- 4
+
+
+def test_fingerprints_of_every_width():
+    texts = [None, "", "One", "one TWO", sentence(1, 300), "é é é é É"]
+    for text in texts:
+        for n in (1, 3, 5):
+            words = (text or "").encode().lower().split()
+            parts = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+            expected = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+            hashes = simhash.shingle_hashes(text, n)
+            assert hashes.tolist() == expected
+            bits = sum(1 << b for b in range(64) if expected and 2 * sum(h >> b & 1 for h in expected) > len(expected))
+            assert simhash.fingerprint(hashes)[0] == bits
+    wide = simhash.fingerprint(simhash.shingle_hashes(texts[4], 3), 8)
+    assert wide[0] == simhash.fingerprint(simhash.shingle_hashes(texts[4], 3))[0] and len(set(wide.tolist())) == 8
+
+
+def test_multi_index_hashing_finds_every_link(spark):
+    pick = random.Random(4)
+    centres = [pick.getrandbits(64) for _ in range(40)]
+    values = set(centres)
+    for c in centres[:20]:
+        for _ in range(12):
+            v = c
+            for b in pick.sample(range(64), pick.randrange(1, 6)):
+                v ^= 1 << b
+            values.add(v)
+    signed = [x - (1 << 64) if x >> 63 else x for x in values]
+    distinct = spark.createDataFrame([(x, [x]) for x in signed], "id long, fp array<long>")
+    found = {r.node: r.component for r in simhash.components(distinct, 1, 2, 32, 1, 3).collect()}
+    parent = {x: x for x in signed}
+
+    def find(x, p):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for a, b in combinations(signed, 2):
+        if bin((a ^ b) & (2**64 - 1)).count("1") <= 3:
+            x, y = find(a, parent), find(b, parent)
+            parent[max(x, y)] = min(x, y)
+    expected = {x: find(x, parent) for x in signed}
+    alone = {x for x, n in Counter(expected.values()).items() if n == 1}
+    assert found == {x: c for x, c in expected.items() if c not in alone}
+
+
+def test_near_duplicates_edges(spark):
+    text = sentence(9, 200)
+    texts = [text, text + " more", None, "", text.upper(), sentence(10, 200)]
+    docs = frame(spark, texts).withColumn("fp", F.lit(1)).withColumn("component_id", F.lit(2))
+    docs = docs.unionByName(docs.where("doc_id = 5")).unionByName(docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = simhash.near_duplicates(docs).collect()
+    found = {r.doc_id: r.component_id for r in rows}
+    assert len(rows) == 8 and found[4] == 0 and found[None] == 0 and found[3] == 2 and found[5] == 5
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+    kept = sorted((r.doc_id for r in simhash.representatives(docs).collect()), key=str)
+    assert kept == [0, 2, 5, 5] and simhash.representatives(docs).columns == docs.columns
+
+
+def test_representatives_take_five_words_and_similarity(spark):
+    texts, near, far = [], [], []
+    for i in range(60):
+        words = sentence(100 + i, 300).split()
+        texts.append(" ".join(words))
+        other = list(words)
+        for p in random.Random(i).sample(range(300), 3 if i % 2 else 40):
+            other[p] = f"edit{p}x{i}"
+        (near if i % 2 else far).append(len(texts))
+        texts.append(" ".join(other))
+    kept = {r.doc_id for r in simhash.representatives(frame(spark, texts)).collect()}
+    assert all(i in kept for i in far) and all(2 * i in kept for i in range(60))
+    assert sum(i in kept for i in near) <= 2  # three of 300 words changed: similarity above 0.9
+
+
+# -- 5
+
+
+def test_shards_tiers_versions_and_lost_races(spark, tmp_path):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"), F.lit("x").alias("tier"), F.lit(1).alias("shard"))
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=120_000, fanout=3, arrival_rows=100)
+    assert store.version() == 0 and store.manifest().count() == 0
+    for i in range(4):
+        store.append(docs.where(F.col("doc_id") % 4 == i))
+    assert store.version() == 4
+    before = store.manifest().collect()
+    assert sum(r.rows for r in before) == 4000 and len(before) >= 40 and max(r.rows for r in before) <= 100
+    assert store.compact() == 5
+    after = store.manifest().collect()
+    assert sum(r.rows for r in after) == 4000 and len(after) < len(before) / 3 and all(r.bytes <= 2 * 120_000 for r in after)
+    assert store.read().exceptAll(docs).count() == 0 and docs.exceptAll(store.read()).count() == 0
+    assert store.read(2).count() == 2000  # old versions stay readable
+    with pytest.raises(sharding.ConcurrentCommit):
+        store._commit(3, store.manifest(3))
+    assert store.version() == 5 and store.manifest().count() == len(after)
+    store.append(docs.where("doc_id < 0"))
+    assert store.read().count() == 4000
+    small = sharding.ShardStore(spark, f"file://{tmp_path}/t")
+    small.append(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    assert small.compact() == 1 and small.read().first().text is None
+
+
+# -- 6
+
+
+def test_boundaries_are_optimal():
+    pick = random.Random(6)
+    for _ in range(40):
+        lengths = sorted(pick.sample(range(0, 60), pick.randrange(1, 9)))
+        counts = [pick.randrange(1, 30) for _ in lengths]
+        for k in range(1, 6):
+
+            def cost(ends):
+                return sum(n * (min(e for e in ends if e >= x) - x) for x, n in zip(lengths, counts, strict=True))
+
+            best = min(cost((*c, lengths[-1])) for r in range(min(k, len(lengths))) for c in combinations(lengths[:-1], r))
+            ends = packing.boundaries(lengths, counts, k)
+            assert len(ends) <= k and ends[-1] == lengths[-1] and cost(ends) == best
+    assert packing.boundaries([], [], 3) == []
+
+
+def test_packing_batches(spark):
+    pick = random.Random(7)
+    texts = [sentence(i, pick.randrange(0, 90)) for i in range(500)] + [None, "", sentence(1, 5000)]
+    docs = frame(spark, texts).withColumn("length", F.lit("x")).withColumn("bucket", F.lit("y"))
+    docs = docs.unionByName(docs.where("doc_id < 3"))
+    rows = packing.pack(docs, buckets=5, token_budget=400).collect()
+    assert Counter(r.doc_id for r in rows) == Counter([*range(503), 0, 1, 2])
+    slots: dict = {}
+    for r in rows:
+        assert r.length == len((texts[r.doc_id] or "").split()) <= r.boundary and r.over_budget == (r.boundary > 400)
+        slots.setdefault((r.bucket, r.boundary, r.batch), []).append(r.slot)
+    for (_, boundary, _), found in slots.items():
+        assert sorted(found) == list(range(len(found))) and len(found) <= max(1, 400 // max(1, boundary))
+    full = Counter((b, e) for b, e, _ in slots)
+    for (b, e), n in full.items():
+        members = sum(r.bucket == b for r in rows)
+        assert n == -(-members // max(1, 400 // max(1, e)))
+    assert packing.pack(empty(spark)).count() == 0
+
+
+# -- 7
+
+
+def test_exact_dedup(spark):
+    texts = ["Same", "sAME", None, "", "É", "é", "other", "same"]
+    docs = frame(spark, texts).withColumn("digest", F.lit(1)).withColumn("kept", F.lit(2))
+    docs = docs.unionByName(docs.where("doc_id = 6")).unionByName(docs.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = exact_dedup.exact_dedup(docs, largest=True).collect()
+    found = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows)
+    assert found == Counter([(0, 7, 3, False), (1, 7, 3, False), (7, 7, 3, True), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 1, True), (5, 5, 1, True), (6, 6, 3, True), (6, 6, 3, True), (None, 6, 3, False)])
+    assert {r.text_sha256 for r in rows if r.doc_id in (2, 3)} == {hashlib.sha256(b"").hexdigest()}
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs).collect()}[7] == 0
+    assert exact_dedup.exact_dedup(empty(spark)).count() == 0
+
+
+def test_equal_digests_of_different_texts_stay_apart(spark):
+    index = exact_dedup.DigestIndex()
+    texts = spark.createDataFrame([(1, 5, "a"), (2, 5, "b"), (3, 5, "a"), (4, 6, "c")], "id long, digest long, body string")
+    for part in ("id < 3", "id >= 3"):
+        index.flush(texts.where(part).select("id", "digest", F.unhex(F.sha2("body", 256)).alias("sha")))
+    assert {(r.digest, r.id, r.n) for r in index.compact().collect()} == {(5, 1, 3), (6, 4, 1)}
+    assert [(r.digest, r.keep_id, r.group_size) for r in index.verified(texts).collect()] == [(5, 1, 2)]
+
+
+# -- 8
+
+
+def test_quotes_are_linked_and_removed(spark):
+    rows = [
+        (1, 0, "user", "Hello my good friend of old.\nHow is the weather today in town?"),
+        (1, 1, "assistant", "> How is the weather today in town?\nIt rains."),
+        (1, 2, "user", "Another topic entirely for you"),
+        (1, 3, "user", "On Monday, Bob wrote:\n> It rains.\n>> How is the weather today in town?\nI see, thanks."),
+        (2, 0, "user", "> another   TOPIC entirely for you\nYes"),
+        (2, 0, "user", "> another   TOPIC entirely for you\nYes"),
+        (2, 1, "user", "> nobody has said this\n5 > 3, yes"),
+        (None, None, None, None),
+        (3, 1, "user", ""),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("hash", F.lit(1)).withColumn("body", F.lit(2))
+    found = chat.link_quotes(messages).collect()
+    by = {(r.conv_id, r.turn): r for r in found}
+    assert len(found) == len(rows)
+    assert [(by[1, t].reply_to, by[1, t].root_turn, by[1, t].depth, by[1, t].position) for t in range(4)] == [(None, 0, 0, 0), (0, 0, 1, 1), (None, 2, 0, 3), (1, 0, 2, 2)]
+    assert [by[1, t].text for t in (1, 3)] == ["It rains.", "I see, thanks."]
+    assert (by[2, 0].reply_to_conv, by[2, 0].reply_to, by[2, 0].text) == (1, 2, "Yes")
+    assert sorted(r.position for r in found if (r.conv_id, r.turn) == (2, 0)) == [0, 1]
+    assert by[2, 1].reply_to is None and by[2, 1].text == "5 > 3, yes"
+    assert by[None, None].text is None and by[3, 1].text == ""
+    assert chat.link_quotes(messages.where("conv_id > 99")).count() == 0
+
+
+def test_long_threads_keep_replies_after_what_they_quote(spark):
+    rows = [(5, 0, "user", "root message number zero here")]
+    for t in range(1, 600):
+        rows.append((5, t, "user", f"> {'root message number zero here' if t == 1 else f'answer text number {t - 1} follows'}\nanswer text number {t} follows"))
+    found = chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: (r.reply_to, r.root_turn, r.depth, r.position) for r in found} == {t: (t - 1 if t else None, 0, t, t) for t in range(600)}
+
+
+# -- 9
+
+
+def test_repetition_against_brute_force():
+    pick = random.Random(8)
+    texts: list[str | None] = [None, "", "a", "a a", "a a a a", " \t\n", "x\nx\n \n x", "#a# $b% <c>|&*", "é é é é"]
+    for _ in range(60):
+        words = [pick.choice("abcd") for _ in range(pick.randrange(0, 40))]
+        texts.append("".join(w + pick.choice([" ", "\n", "  "]) for w in words))
+    phrase = sentence(1, 14)
+    texts.append(f"{sentence(2, 30)} {phrase} {sentence(3, 30)} {phrase} {sentence(4, 5)}")
+    texts.append(phrase)  # the same passage in another text does not count
+    for text, found in zip(texts, quality.text_stats(texts, 4), strict=True):
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        n = len(words)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+
+        def windows(k, words=words, n=n):
+            seen = Counter(tuple(words[i : i + k]) for i in range(n - k + 1))
+            return {j for i in range(n - k + 1) if seen[tuple(words[i : i + k])] > 1 for j in range(i, i + k)}
+
+        longest = max((k for k in range(1, n) if windows(k)), default=0)
+        expected = (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(windows(3)), len(windows(4)), longest)
+        assert found == expected, text
+
+
+def test_blocks_and_wide_keys_agree(monkeypatch):
+    texts = [sentence(i, 50) + " " + sentence(i % 3, 12) for i in range(12)] + [sentence(1, 400) * 2]
+    once = quality.text_stats(texts, 4)
+    monkeypatch.setattr(quality, "BLOCK_WORDS", 60)
+    assert quality.text_stats(texts, 4) == once
+    plain = quality._sorted_ranks
+
+    def unpacked(first, second):
+        order = np.lexsort((second, first)) if second is not None else np.argsort(first, kind="stable")
+        keys = list(zip(first[order].tolist(), (second if second is not None else first)[order].tolist(), strict=True))
+        return order, np.array([True] + [a != b for a, b in zip(keys[1:], keys, strict=False)])
+
+    monkeypatch.setattr(quality, "_sorted_ranks", lambda a, b: unpacked(a, b) if len(a) else plain(a, b))
+    assert quality.text_stats(texts, 4) == once
+
+
+def test_quality_verdict_and_filter(spark):
+    clean, passage = sentence(11, 120), sentence(12, 40)
+    texts = [clean, "few words only", None, " ".join([passage] * 4), f"{clean} {passage} {passage}", "spam " * 200]
+    docs = frame(spark, texts).withColumn("kept", F.lit("mine")).withColumn("n_words", F.lit(-1)).withColumn("__x", F.lit(0))
+    kept = quality.quality_filter(docs).collect()
+    assert [r.doc_id for r in kept] == [0] and kept[0].kept == "mine" and kept[0].n_words == -1
+    rows = {r.doc_id: r for r in quality.judged(quality.repetition_stats(frame(spark, texts))).collect()}
+    assert [rows[i].base_failed for i in range(6)] == [False, True, True, True, False, True] and not rows[4].kept
+    assert quality.quality_filter(empty(spark)).count() == 0
+
+
+# -- 10
+
+
+def test_surrogates(spark):
+    texts = [
+        "Mail Anna.Smith42@Mail.example.com or anna.smith42@mail.example.com now, call +1 (212) 555-0187.",
+        "Call +1 212 555 0187 or 4111 1111 1111 1111, also 4111111111111111 and 1234567890123456.",
+        'from 10.1.2.3 to 8.8.8.8; token = "deadbeef00112233" SSN 123-45-6789 IBAN DE89 3704 0044 0532 0130 00',
+        "Herr Karl Weber met Frau Erika Weber and Mrs. WEBER; Госпожа: госпожа Иванова Петрова",
+        "No entity: 3.14, 2024, a@b, version 1.2.3, Les. Mr nobody",
+        None,
+        "",
+        "odd \u0001 marks: mail bob@example.org twice bob@example.org \u0002",
+    ]
+    docs = frame(spark, texts).withColumn("n_entities", F.lit("x")).withColumn("row", F.lit(5)).withColumn("found", F.lit(6))
+    docs = docs.unionByName(docs.where("doc_id = 0"))
+    rows = surrogates.replace_entities(docs, key="k").collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == 9 and by[0].row == 5 and by[0].found == 6
+    assert [by[i].n_entities for i in range(8)] == [3, 4, 5, 7, 0, 0, 0, 2]
+    assert [by[i].text for i in (4, 5, 6)] == [texts[4], None, ""]
+    first, second = re.findall(r"\S+@\S+", by[0].text)
+    assert first.lower() == second and first != second and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{4}\d\d@[A-Z][a-z]{3}\.[a-z]{7}\.com", first)
+    phone = re.search(r"\+\d \(\d{3}\) \d{3}-\d{4}", by[0].text)[0]
+    other = re.search(r"\+\d \d{3} \d{3} \d{4}", by[1].text)[0]
+    digits = lambda x: re.sub(r"\D", "", x)
+    assert digits(phone) == digits(other) != "12125550187"
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\b\d{16}\b", by[1].text)
+    assert digits(cards[0]) == cards[1] != cards[2]
+
+    def luhn(x):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(x))) % 10 == 0
+
+    assert luhn(cards[1]) and luhn("4111111111111111")
+    assert re.fullmatch(r'from 10\.\d+\.\d+\.\d+ to \d+\.\d+\.\d+\.\d+; token = "[0-9a-f]{16}" SSN \d{3}-\d\d-\d{4} IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d', by[2].text)
+    m = re.fullmatch(r"Herr (\w+) ([\w-]+) met Frau (\w+) ([\w-]+) and Mrs\. ([\w-]+); Госпожа: госпожа ([\w-]+) ([\w-]+)", by[3].text)
+    assert m and m[2] == m[4] and m[5] == m[2].upper() and m[1] in surrogates.GIVEN["latin_m"] and m[3] in surrogates.GIVEN["latin_f"] and m[6] in surrogates.GIVEN["cyrillic_f"]
+    for old in ("smith", "0187", "4111", "8.8.8.8", "deadbeef", "6789", "3704", "Karl", "Erika", "Weber", "Иванова", "bob@"):
+        assert all(old not in (r.text or "") for r in rows)
+    assert by[7].text.startswith("odd \u0001 marks") and by[7].text.endswith("\u0002")
+    assert {r.text for r in surrogates.replace_entities(docs, key="k").collect()} == {r.text for r in rows}
+    assert {r.text for r in surrogates.replace_entities(docs, key="other").collect()} != {r.text for r in rows}
+    assert surrogates.replace_entities(empty(spark), key="k").count() == 0
+
+
+def test_surrogates_stay_distinct_when_names_are_scarce(spark):
+    names = [f"N{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    book = surrogates.surrogate_book(spark.createDataFrame([("surname_latin", n.lower()) for n in names], "kind string, canonical string"), "k").collect()
+    assert len(book) == 120 == len({r.found for r in book}) and not {r.found for r in book} & {n.lower() for n in names}
