@@ -10,25 +10,32 @@ from pyspark.sql import functions as F
 from .shared import connected_components, written
 
 
-def bucket_links(
+def bucket_components(
     lookups: DataFrame,
     words: DataFrame,
     close: Callable[[Column, Column], Column],
     verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
 ) -> DataFrame:
-    """Pairs (a, b) that connect all ids which meet in a bucket and are linked.
+    """(node, component) of all ids that are linked with another, links being between ids that meet in a bucket.
 
-    lookups: (id, key, own): an id looks a bucket up; with own it is also an entry of that bucket. words: (id, w)
-    by distinct id; close: whether two w may be linked; verify: takes distinct pairs (a, b), returns the linked ones.
+    lookups: (id, w, key, own): an id looks a bucket up; with own it is also an entry of that bucket. words: (id, w)
+    by distinct id; close: whether two w may be linked, also if both have lost their highest bit; verify: takes
+    distinct pairs (a, b), returns the linked ones.
 
     The first pass links every lookup with the smallest entry of its bucket. The second looks, in buckets of two
     and more entries, at all pairs whose ids the first pass left in different components. A large group of alike
     members is thus linked by about as many rows as it has members, and no link between components is lost.
     """
-    dealt = lookups.repartition("key")  # one exchange for the buckets and for what looks them up
-    buckets = dealt.where("own").groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n"))
-    hit = (F.col("key") == F.col("k")) & ((F.col("id") != F.col("b")) | (F.col("n") > 1))
-    hits = written(dealt.join(buckets.withColumnRenamed("key", "k").hint("shuffle_hash"), hit).select("id", "key", "own", "b", "n"), "bucket-hits")
+    # One exchange for the buckets and for what looks them up. w and own share a long. In a bucket of one entry, the
+    # least tag is that entry's, so most chance meetings end within the join.
+    tag = F.shiftleft("w", 1).bitwiseOR(F.col("own").cast("long"))
+    dealt = lookups.select("id", "key", tag.alias("tag")).repartition("key")
+    own = F.col("tag").bitwiseAND(F.lit(1)) == 1
+    buckets = dealt.where(own).groupBy("key").agg(F.min("id").alias("b"), F.min("tag").alias("t"), F.count("*").alias("n"))
+    alike = close(F.shiftrightunsigned("tag", 1), F.shiftrightunsigned("t", 1))
+    hit = (F.col("key") == F.col("k")) & ((F.col("n") > 1) | ((F.col("id") != F.col("b")) & alike))
+    hits = dealt.join(buckets.withColumnRenamed("key", "k").hint("shuffle_hash"), hit)
+    hits = written(hits.select("id", "key", own.alias("own"), "b", "n"), "bucket-hits")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -37,10 +44,20 @@ def bucket_links(
     first = hits.where("id <> b").select(F.col("id").alias("a"), "b").distinct().join(word("a"), "a").join(word("b"), "b").where(close(F.col("w_a"), F.col("w_b")))
     first = written(linked(first), "bucket-first")
 
-    component = written(connected_components(first), "bucket-components").withColumnRenamed("node", "id")
-    named = words.join(component, "id", "left").select("id", "w", F.coalesce("component", "id").alias("c"))
+    component = written(connected_components(first), "bucket-components")
+    named = words.join(component.withColumnRenamed("node", "id"), "id", "left").select("id", "w", F.coalesce("component", "id").alias("c"))
     fuller = written(hits.where("n > 1").select("id", "key", "own").join(named, "id"), "bucket-fuller")
     one = fuller.select(F.col("id").alias("a"), F.col("w").alias("w_a"), F.col("c").alias("c_a"), "key")
     two = fuller.where("own").select(F.col("id").alias("b"), F.col("w").alias("w_b"), F.col("c").alias("c_b"), F.col("key").alias("k"))
     rest = one.join(two, (F.col("key") == F.col("k")) & (F.col("c_a") != F.col("c_b")) & close(F.col("w_a"), F.col("w_b")))
-    return first.unionByName(written(linked(rest), "bucket-rest"))
+    rest = written(linked(rest), "bucket-rest")
+    if rest.isEmpty():
+        return component
+
+    # The second pass links components: they are contracted first, so that this graph is small.
+    known = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    between = rest.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    merged = written(connected_components(between), "bucket-merged").select(F.col("node").alias("c"), F.col("component").alias("new"))
+    nodes = component.unionByName(merged.select(F.col("c").alias("node"), F.col("c").alias("component"))).distinct()
+    joined = nodes.select("node", F.col("component").alias("c")).join(merged, "c", "left")
+    return joined.select("node", F.coalesce("new", "c").alias("component")).groupBy("node").agg(F.min("component").alias("component"))

@@ -57,14 +57,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def key_filter(keys: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
-    """A one-hash Bloom filter over a long column, as rows (slot, bitmap) of 4 KB each.
+    """A one-hash Bloom filter over a long column, as rows (__slot, __bitmap) of 4 KB each.
 
     It never holds more than ``bits`` bits (4 MB by default) however many keys go in, so it may always
     be broadcast; with more keys it only lets more rows through.
     """
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(bits)) + 1
-    return keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("slot")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")
+    return keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("__slot")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("__bitmap")
     )
 
 
@@ -72,11 +72,11 @@ def passing(rows: DataFrame, key: str, found: DataFrame, bits: int = 1 << 25, ab
     """Rows whose key may be in the filter ``found`` (``absent``: those whose key surely is not)."""
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(bits)) + 1
     position = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bitmap"), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     is_in = F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
     keep = ~is_in if absent else is_in
-    joined = rows.withColumn("slot", F.bitmap_bucket_number(place)).join(F.broadcast(found), "slot", "left")
-    return joined.where(keep).select(*rows.columns)
+    joined = rows.withColumn("__slot", F.bitmap_bucket_number(place)).join(F.broadcast(found), "__slot", "left")
+    return joined.where(keep).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -112,3 +112,20 @@ def join_small(rows: DataFrame, small: DataFrame, on: Column | str | list[str],
     """
     small = written(small, "small")
     return rows.join(F.broadcast(small) if small.count() <= most else small, on, how)
+
+
+def left_lookup(rows: DataFrame, found: DataFrame, key: str, most: int = 500_000) -> DataFrame:
+    """Left join on a long key with a written table that few rows need.
+
+    With at most ``most`` rows the table is broadcast. Beyond, only rows that pass its filter are dealt by key, and
+    the others, which surely have nothing in it, stay where they are.
+    """
+    if found.count() <= most:
+        return rows.join(F.broadcast(found), key, "left")
+    known = key_filter(found, key)
+    rest = passing(rows, key, known, absent=True)
+    for field in found.schema:
+        if field.name != key:
+            rest = rest.withColumn(field.name, F.lit(None).cast(field.dataType))
+    dealt = passing(rows, key, known).join(found, key, "left")
+    return dealt.unionByName(rest)

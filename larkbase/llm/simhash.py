@@ -9,7 +9,7 @@ which they differ by at most r // segments bits, so each fingerprint looks up th
 of its segments in the table of segments, and complete distances are verified in the join. Lookups are made by
 distinct fingerprints, so copies are never paired with one another.
 
-Groups of near copies are not expanded into all their pairs; see ``links``.
+Groups of near copies are not expanded into all their pairs; see ``links.py``.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .links import bucket_links
-from .shared import connected_components, key_filter, passing, written
+from .links import bucket_components
+from .shared import key_filter, passing, written
 
 #: For each byte value, its eight bits as eight byte-wide counters.
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -93,8 +93,8 @@ def _distance(a: str, b: str, parts: int) -> Column:
     return total
 
 
-def links(distinct: DataFrame, parts: int, segments: int, segment_bits: int, segment_radius: int, distance: int) -> DataFrame:
-    """From (id, fp) with distinct ids and fingerprints, pairs (a, b) within ``distance`` bits that connect all such ids.
+def components(distinct: DataFrame, parts: int, segments: int, segment_bits: int, segment_radius: int, distance: int) -> DataFrame:
+    """From (id, fp) with distinct ids and fingerprints, (node, component) of ids linked by at most ``distance`` bits.
 
     Exact if every pair within ``distance`` has a segment within ``segment_radius`` bits, as when the segments
     cover the fingerprint and distance < segments * (segment_radius + 1).
@@ -105,10 +105,10 @@ def links(distinct: DataFrame, parts: int, segments: int, segment_bits: int, seg
     keys = F.array(*[_segment("fp", i * segment_bits, segment_bits).bitwiseOR(F.lit(i << segment_bits)) for i in range(segments)])
     flips = [0] + [sum(1 << x for x in c) for r in range(1, segment_radius + 1) for c in combinations(range(segment_bits), r)]
     ball = F.array(*[F.lit(x).cast("long") for x in flips])
-    lookups = distinct.select("id", F.explode(keys).alias("segment")).select("id", "segment", F.explode(ball).alias("flip"))
-    lookups = lookups.select("id", F.col("segment").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("own"))
+    lookups = distinct.select("id", F.element_at("fp", 1).alias("w"), F.explode(keys).alias("segment")).select("id", "w", "segment", F.explode(ball).alias("flip"))
+    lookups = lookups.select("id", "w", F.col("segment").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("own"))
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= word_distance
-    return bucket_links(lookups, words, close, lambda pairs: _verified(pairs, distinct, parts, distance))
+    return bucket_components(lookups, words, close, lambda pairs: _verified(pairs, distinct, parts, distance))
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, parts: int, distance: int) -> DataFrame:
@@ -139,17 +139,18 @@ def near_duplicates(
     rows = written(fingerprints(docs, text_col, id_col, shingle_words, parts), "simhash-fingerprints")
     name = F.element_at("fp", 1) if parts == 1 else F.xxhash64("fp")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select(name.alias("id"), "fp", "least"), "simhash-distinct")
-    component = connected_components(links(distinct, parts, segments, segment_bits, segment_radius, distance))
+    component = components(distinct, parts, segments, segment_bits, segment_radius, distance)
     grouped = distinct.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(grouped.join(least, "component").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints for word shingles of five at a similarity of 0.8: 512 bits, of which 12 segments of 22 bits are looked
+#: Fingerprints for word shingles of five at a similarity of 0.8: 512 bits, of which 16 segments of 22 bits are looked
 #: up with their balls of radius 1. Jaccard similarity s of shingle sets is a cosine of about 2s / (1 + s), so 0.8 is
-#: an expected distance of 512 * acos(8 / 9) / pi = 77.6 bits, give or take 8.
-WIDE = {"shingle_words": 5, "parts": 8, "segments": 12, "segment_bits": 22, "segment_radius": 1, "distance": 78}
+#: an expected distance of 512 * acos(8 / 9) / pi = 77.6 bits, give or take 8; one such step more is allowed, so that
+#: most pairs at 0.8 are taken, and with them some from 0.75 on.
+WIDE = {"shingle_words": 5, "parts": 8, "segments": 16, "segment_bits": 22, "segment_radius": 1, "distance": 86}
 
 
 def representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **settings: int) -> DataFrame:
