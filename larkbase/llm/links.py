@@ -45,8 +45,8 @@ def bucket_components(
     first = written(linked(first), "bucket-first")
 
     component = written(connected_components(first), "bucket-components")
-    named = words.join(component.withColumnRenamed("node", "id"), "id", "left").select("id", "w", F.coalesce("component", "id").alias("c"))
-    fuller = written(hits.where("n > 1").select("id", "key", "own").join(named, "id"), "bucket-fuller")
+    fuller = hits.where("n > 1").select("id", "key", "own").join(words.select("id", "w"), "id").join(component.withColumnRenamed("node", "id"), "id", "left")
+    fuller = written(fuller.select("id", "key", "own", "w", F.coalesce("component", "id").alias("c")), "bucket-fuller")
     one = fuller.select(F.col("id").alias("a"), F.col("w").alias("w_a"), F.col("c").alias("c_a"), "key")
     two = fuller.where("own").select(F.col("id").alias("b"), F.col("w").alias("w_b"), F.col("c").alias("c_b"), F.col("key").alias("k"))
     rest = one.join(two, (F.col("key") == F.col("k")) & (F.col("c_a") != F.col("c_b")) & close(F.col("w_a"), F.col("w_b")))

@@ -180,6 +180,15 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_without_broadcast_gives_the_same(spark, monkeypatch):
+    docs = frame(spark, ["\n".join([sentence(i % 7, 9), sentence(100 + i, 9)]) for i in range(30)] + [None])
+    once = sorted(map(str, line_dedup.line_dedup(docs).collect()))
+    monkeypatch.setattr(line_dedup, "FEW", 0)
+    monkeypatch.setattr(line_dedup, "HEAVY", 5)
+    monkeypatch.setattr(line_dedup, "left_lookup", lambda rows, found, key: shared.left_lookup(rows, found, key, most=0))
+    assert sorted(map(str, line_dedup.line_dedup(docs).collect())) == once
+
+
 def test_line_fingerprints_and_links(spark):
     pick = random.Random(3)
     lines = [sentence(i, pick.randrange(3, 40)) for i in range(60)]
