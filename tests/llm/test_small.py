@@ -220,6 +220,39 @@ def test_line_fingerprints_and_links(spark):
         assert shared_keys(a, b) == meet, (lines[a], lines[b])
 
 
+def test_line_runs_meet_up_to_a_fifth_of_the_words(spark):
+    pick = random.Random(11)
+    rows = []
+    for n in [*range(5, 30), 40, 50]:
+        for _ in range(8):
+            a = [f"w{pick.getrandbits(40)}" for _ in range(n)]
+            b = list(a)
+            places = pick.sample(range(n), n // 5) if pick.random() < 0.5 else [min(n - 1, i) for i in range(4, n, 5)][: n // 5]
+            for i in places:
+                b[i] = f"w{pick.getrandbits(40)}"
+            rows.append((a, b))
+            if n >= 6:
+                rows.append((a, [w for i, w in enumerate(a) if i not in places[: n // 5]]))
+    found = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", *[line_dedup._runs(F.col(x), 0.8).alias(f"r{x}") for x in "ab"])
+    assert all(set(r.ra) & set(r.rb) for r in found.collect() if len(r.b) >= 5)
+
+
+def test_line_links_at_a_similarity_of_0_8(spark):
+    pick = random.Random(12)
+    texts, size = [], {}
+    for i in range(200):
+        n = (5, 8, 10, 20, 40)[i % 5]
+        words = [f"{pick.getrandbits(24):06x}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for p in pick.sample(range(n), n // 5):
+            words[p] = f"{pick.getrandbits(24):06x}"
+        texts.append(" ".join(words))
+        size[2 * i + 1] = n
+    rows = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(frame(spark, texts)).collect()}
+    assert sum(rows[i] for i in rows if i not in size) == 0
+    assert sum(rows[i] for i in size) >= 0.95 * len(size)
+
+
 # -- 4
 
 
