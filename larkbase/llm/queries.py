@@ -66,7 +66,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    cleaned = line_dedup.line_dedup(_table(spark, sf_dir, "documents"), exact_words=1)
     return cleaned.select("doc_id", "n_lines", "n_dropped", "text")
 
 

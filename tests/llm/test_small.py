@@ -253,6 +253,12 @@ def test_line_links_at_a_similarity_of_0_8(spark):
     assert sum(rows[i] for i in size) >= 0.95 * len(size)
 
 
+def test_equal_short_lines_go(spark):
+    texts = ["All rights reserved.\nown text", "all rights reserved\n\n--\nmenu", "Menu!\n\n--", "版权所有不得转载本文的内容。\nother text", "版权所有不得转载本文的内容", "版权所有不得转载此文的内容。"]
+    rows = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, texts), exact_words=1).collect()}
+    assert [rows[i].text for i in range(6)] == [texts[0], "\n--\nmenu", "\n--", texts[3], "", ""]
+
+
 # -- 4
 
 
