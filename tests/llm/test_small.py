@@ -253,6 +253,16 @@ def test_line_links_at_a_similarity_of_0_8(spark):
     assert sum(rows[i] for i in size) >= 0.95 * len(size)
 
 
+def test_line_similarity_is_counted_in_characters(spark):
+    a = "several readers reported strange letters inside printed documents"
+    b = a.replace("readers", "raeders").replace("strange", "stronge")  # 2 of 8 words, 3 of 65 characters
+    c = "go to it as we do"
+    d = "go to it as we misunderstandings"  # 1 of 6 words, most of the characters
+    texts = [a, b, c, d, c.upper() + "!"]
+    dropped = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(frame(spark, texts)).collect()}
+    assert dropped == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
+
+
 def test_equal_short_lines_go(spark):
     texts = ["All rights reserved.\nown text", "all rights reserved\n\n--\nmenu", "Menu!\n\n--", "版权所有不得转载本文的内容。\nother text", "版权所有不得转载本文的内容", "版权所有不得转载此文的内容。"]
     rows = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, texts), exact_words=1).collect()}
