@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, written
+from .shared import connected_components, discard, written
 
 
 def bucket_components(
@@ -18,7 +18,8 @@ def bucket_components(
 ) -> DataFrame:
     """(node, component) of all ids that are linked with another, links being between ids that meet in a bucket.
 
-    lookups: (id, w, key, own): an id looks a bucket up; with own it is also an entry of that bucket. words: (id, w)
+    lookups: (id, w, key, own): an id looks a bucket up; with own it is also an entry of that bucket. Lookups (id, key)
+    are all entries, so that a bucket of one entry has no meetings and neither w nor own is dealt. words: (id, w)
     by distinct id; close: whether two w may be linked, also if both have lost their highest bit; verify: takes
     distinct pairs (a, b), returns the linked ones.
 
@@ -26,16 +27,22 @@ def bucket_components(
     and more entries, at all pairs whose ids the first pass left in different components. A large group of alike
     members is thus linked by about as many rows as it has members, and no link between components is lost.
     """
-    # One exchange for the buckets and for what looks them up. w and own share a long. In a bucket of one entry, the
-    # least tag is that entry's, so most chance meetings end within the join.
-    tag = F.shiftleft("w", 1).bitwiseOR(F.col("own").cast("long"))
-    dealt = lookups.select("id", "key", tag.alias("tag")).repartition("key")
-    own = F.col("tag").bitwiseAND(F.lit(1)) == 1
-    buckets = dealt.where(own).groupBy("key").agg(F.min("id").alias("b"), F.min("tag").alias("t"), F.count("*").alias("n"))
-    alike = close(F.shiftrightunsigned("tag", 1), F.shiftrightunsigned("t", 1))
-    hit = (F.col("key") == F.col("k")) & ((F.col("n") > 1) | ((F.col("id") != F.col("b")) & alike))
-    hits = dealt.join(buckets.withColumnRenamed("key", "k").hint("shuffle_hash"), hit)
-    hits = written(hits.select("id", "key", own.alias("own"), "b", "n"), "bucket-hits")
+    if "own" not in lookups.columns:
+        dealt = lookups.select("id", "key").repartition("key")
+        buckets = dealt.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+        hits = dealt.join(buckets.withColumnRenamed("key", "k").hint("shuffle_hash"), F.col("key") == F.col("k"))
+        hits = written(hits.select("id", "key", F.lit(True).alias("own"), "b", "n"), "bucket-hits")
+    else:
+        # One exchange for the buckets and for what looks them up. w and own share a long. In a bucket of one entry, the
+        # least tag is that entry's, so most chance meetings end within the join.
+        tag = F.shiftleft("w", 1).bitwiseOR(F.col("own").cast("long"))
+        dealt = lookups.select("id", "key", tag.alias("tag")).repartition("key")
+        own = F.col("tag").bitwiseAND(F.lit(1)) == 1
+        buckets = dealt.where(own).groupBy("key").agg(F.min("id").alias("b"), F.min("tag").alias("t"), F.count("*").alias("n"))
+        alike = close(F.shiftrightunsigned("tag", 1), F.shiftrightunsigned("t", 1))
+        hit = (F.col("key") == F.col("k")) & ((F.col("n") > 1) | ((F.col("id") != F.col("b")) & alike))
+        hits = dealt.join(buckets.withColumnRenamed("key", "k").hint("shuffle_hash"), hit)
+        hits = written(hits.select("id", "key", own.alias("own"), "b", "n"), "bucket-hits")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -45,12 +52,19 @@ def bucket_components(
     first = written(linked(first), "bucket-first")
 
     component = written(connected_components(first), "bucket-components")
-    fuller = hits.where("n > 1").select("id", "key", "own").join(words.select("id", "w"), "id").join(component.withColumnRenamed("node", "id"), "id", "left")
-    fuller = written(fuller.select("id", "key", "own", "w", F.coalesce("component", "id").alias("c")), "bucket-fuller")
+    # Only buckets whose entries are not all in one component are left; mostly these are few.
+    named = hits.where("n > 1").select("id", "key", "own").join(component.withColumnRenamed("node", "id"), "id", "left")
+    named = named.select("id", "key", "own", F.coalesce("component", "id").alias("c")).repartition("key")
+    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select(F.col("key").alias("k"))
+    named = written(named.join(mixed.hint("shuffle_hash"), F.col("key") == F.col("k"), "left_semi"), "bucket-mixed")
+    discard(hits)
+    fuller = written(named.join(words.select("id", "w"), "id").select("id", "key", "own", "w", "c"), "bucket-fuller")
+    discard(named)
     one = fuller.select(F.col("id").alias("a"), F.col("w").alias("w_a"), F.col("c").alias("c_a"), "key")
     two = fuller.where("own").select(F.col("id").alias("b"), F.col("w").alias("w_b"), F.col("c").alias("c_b"), F.col("key").alias("k"))
     rest = one.join(two, (F.col("key") == F.col("k")) & (F.col("c_a") != F.col("c_b")) & close(F.col("w_a"), F.col("w_b")))
     rest = written(linked(rest), "bucket-rest")
+    discard(fuller)
     if rest.isEmpty():
         return component
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Words as every contract here defines them: runs of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,10 +51,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Cuts lineage: the rows as a Parquet table in the shared folder, which outlives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts lineage: the rows as a Parquet table in the shared folder, which outlives lost executors.
+
+    What was shuffled on the way is deleted once the table stands.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def key_filter(keys: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
