@@ -14,7 +14,7 @@ Groups of near copies are not expanded into all their pairs; see ``links.py``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -63,20 +63,63 @@ def fingerprint(hashes: np.ndarray, parts: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle_words: int = 3, parts: int = 1) -> DataFrame:
-    """(doc_id, fp): fp is an array of ``parts`` longs. Null and empty texts get zeros. No shuffle."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType()))])
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle_words: int = 3, parts: int = 1, sets: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is an array of ``parts`` longs. Null and empty texts get zeros. No shuffle.
+
+    With sets also ``set``, a hash of the text's set of shingles.
+    """
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType()))]
+    schema = T.StructType(fields + [T.StructField("set", T.LongType())] * sets)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [fingerprint(shingle_hashes(x.as_py(), shingle_words), parts).view(np.int64) for x in batch.column(1)]
+            bits, names = [], []
+            for x in batch.column(1):
+                hashes = shingle_hashes(x.as_py(), shingle_words)
+                bits.append(fingerprint(hashes, parts).view(np.int64))
+                if sets:
+                    names.append(_set_name(np.unique(hashes)))
             flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64), pa.int64())
             fp = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * parts, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp] + [pa.array(names, pa.int64())] * sets, schema.fieldNames())
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(apply, schema)
 
 
+def _set_name(unique: np.ndarray) -> int:
+    """A hash of a set of shingles, as signed 64-bit integer."""
+    return int(np.uint64(xxhash.xxh64_intdigest(unique.tobytes())).view(np.int64))
+
+
+def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(set, shingles): a text's shingles, each once, and the name of the set. docs: (text)."""
+    schema = T.StructType([T.StructField("set", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                unique = np.unique(shingle_hashes(x.as_py(), shingle_words))
+                shingles = pa.ListArray.from_arrays(pa.array([0, len(unique)], pa.int32()), pa.array(unique.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([_set_name(unique)], pa.int64()), shingles], ["set", "shingles"])
+
+    return docs.mapInArrow(apply, schema)
+
+
+def _alike(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Pairs of sets of shingles with a Jaccard similarity of at least ``similarity``, from the texts of those sets only."""
+    pairs = written(pairs, "simhash-pairs")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = written(wanted.join(distinct.select("id", F.xxhash64("least").alias("key")), "id"), "simhash-wanted")
+    keys = wanted.select("key").distinct()
+    texts = passing(docs.select(F.xxhash64("doc_id").alias("key"), "text"), "key", key_filter(keys, "key")).join(keys, "key", "left_semi")
+    sets = _shingle_sets(texts.select("text"), shingle_words).join(wanted.select(F.col("id").alias("set")).distinct(), "set", "left_semi")
+    sets = written(sets, "simhash-sets")
+    side = lambda x: sets.select(F.col("set").alias(x), F.col("shingles").alias(f"s_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+    linked = both.where(F.col("common") >= similarity * (F.size("s_a") + F.size("s_b") - F.col("common")) - 1e-9).select("a", "b")
+    return linked
+
+
 def _segment(fp: str, start: int, width: int) -> Column:
     """``width`` bits of a fingerprint from bit ``start`` on, as long; a segment may span two longs."""
     part, shift = divmod(start, 64)
@@ -93,22 +136,22 @@ def _distance(a: str, b: str, parts: int) -> Column:
     return total
 
 
-def components(distinct: DataFrame, parts: int, segments: int, segment_bits: int, segment_radius: int, distance: int) -> DataFrame:
-    """From (id, fp) with distinct ids and fingerprints, (node, component) of ids linked by at most ``distance`` bits.
+def components(distinct: DataFrame, parts: int, segments: int, segment_bits: int, segment_radius: int, distance: int, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """From (id, fp) with distinct ids, (node, component) of ids linked by at most ``distance`` bits and by ``verify``.
 
-    Exact if every pair within ``distance`` has a segment within ``segment_radius`` bits, as when the segments
+    A segment that would end beyond the fingerprint ends with it. Exact if every pair within ``distance`` has a segment within ``segment_radius`` bits, as when the segments
     cover the fingerprint and distance < segments * (segment_radius + 1).
     """
     # One word of the fingerprint is compared in the lookup; with more words, loosely, before all of it is verified.
-    word_distance = distance if parts == 1 else min(32, distance // parts + round(4 * (distance / parts) ** 0.5))
+    word_distance = distance if parts == 1 else min(32, distance // parts + round(3 * (distance / parts) ** 0.5))
     words = distinct.select("id", F.element_at("fp", 1).alias("w"))
-    keys = F.array(*[_segment("fp", i * segment_bits, segment_bits).bitwiseOR(F.lit(i << segment_bits)) for i in range(segments)])
+    keys = F.array(*[_segment("fp", min(i * segment_bits, 64 * parts - segment_bits), segment_bits).bitwiseOR(F.lit(i << segment_bits)) for i in range(segments)])
     flips = [0] + [sum(1 << x for x in c) for r in range(1, segment_radius + 1) for c in combinations(range(segment_bits), r)]
     ball = F.array(*[F.lit(x).cast("long") for x in flips])
     lookups = distinct.select("id", F.element_at("fp", 1).alias("w"), F.explode(keys).alias("segment")).select("id", "w", "segment", F.explode(ball).alias("flip"))
     lookups = lookups.select("id", "w", F.col("segment").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("own"))
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= word_distance
-    return bucket_components(lookups, words, close, lambda pairs: _verified(pairs, distinct, parts, distance))
+    return bucket_components(lookups, words, close, lambda pairs: verify(_verified(pairs, distinct, parts, distance)))
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, parts: int, distance: int) -> DataFrame:
@@ -129,13 +172,18 @@ def near_duplicates(
     segment_bits: int = 32,
     segment_radius: int = 1,
     distance: int = 3,
+    similarity: float | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, fp (array of ``parts`` longs), component_id (smallest doc_id reachable).
 
-    Documents with equal fingerprints are linked, as are those within ``distance`` bits. Null and empty texts
+    Documents with equal fingerprints are linked, as are those within ``distance`` bits. With a similarity, documents with
+    equal sets of shingles are linked, and of those within ``distance`` bits the ones whose sets have at least that Jaccard
+    similarity. Null and empty texts
     have fingerprint zero and are linked like any other. A null doc_id is never the smallest unless its whole
     group has null. Repeated rows stay repeated. Empty tables give no rows; other columns are not looked at.
     """
+    if similarity is not None:
+        return _near_by_sets(docs, text_col, id_col, shingle_words, parts, (segments, segment_bits, segment_radius, distance), similarity)
     rows = written(fingerprints(docs, text_col, id_col, shingle_words, parts), "simhash-fingerprints")
     name = F.element_at("fp", 1) if parts == 1 else F.xxhash64("fp")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select(name.alias("id"), "fp", "least"), "simhash-distinct")
@@ -146,14 +194,25 @@ def near_duplicates(
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints for word shingles of five at a similarity of 0.8: 512 bits, of which 16 segments of 22 bits are looked
-#: up with their balls of radius 1. Jaccard similarity s of shingle sets is a cosine of about 2s / (1 + s), so 0.8 is
-#: an expected distance of 512 * acos(8 / 9) / pi = 77.6 bits, give or take 8; one such step more is allowed, so that
-#: most pairs at 0.8 are taken, and with them some from 0.75 on.
-WIDE = {"shingle_words": 5, "parts": 8, "segments": 16, "segment_bits": 22, "segment_radius": 1, "distance": 86}
+def _near_by_sets(docs: DataFrame, text_col: str, id_col: str, shingle_words: int, parts: int, search: tuple[int, ...], similarity: float) -> DataFrame:
+    """near_duplicates with sets of shingles for identity and links."""
+    rows = written(fingerprints(docs, text_col, id_col, shingle_words, parts, sets=True), "simhash-fingerprints")
+    distinct = written(rows.groupBy("set").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")).withColumnRenamed("set", "id"), "simhash-distinct")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    component = components(distinct, parts, *search, verify=lambda pairs: _alike(pairs, distinct, source, shingle_words, similarity))
+    grouped = distinct.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(grouped.join(least, "component").select(F.col("id").alias("set"), "component_id"), "simhash-named")
+    return rows.join(named, "set").select("doc_id", "fp", "component_id")
+
+
+#: Word shingles of five at a Jaccard similarity of 0.8, which is a cosine of about 2s / (1 + s) of the shingle counts: an
+#: expected distance of 512 * acos(8 / 9) / pi = 77.6 bits, give or take 8. One such step more is allowed, and what
+#: is within it is compared by its shingles. 16 segments of 22 bits are looked up.
+WIDE = {"shingle_words": 5, "parts": 8, "segments": 16, "segment_bits": 22, "segment_radius": 1, "distance": 86, "similarity": 0.8}
 
 
-def representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **settings: int) -> DataFrame:
+def representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **settings: float) -> DataFrame:
     """The documents without all but one of each group of near-duplicates, with their own columns only.
 
     The row with the smallest id of a group stays, with every row that repeats its id. A group whose ids are all

@@ -287,6 +287,24 @@ def test_fingerprints_of_every_width():
     assert wide[0] == simhash.fingerprint(simhash.shingle_hashes(texts[4], 3))[0] and len(set(wide.tolist())) == 8
 
 
+def test_wide_links_are_pairs_of_a_jaccard_similarity_of_0_8(spark):
+    texts, jaccard = [], []
+    for i in range(120):
+        words = sentence(5000 + i, 200).split()
+        changed = list(words)
+        for p in range(20, 20 + 30 * (4 if i % 2 else 5), 30):  # similarities of 0.815 and 0.774
+            changed[p] = f"other{i}x{p}"
+        sets = [{tuple(x[j : j + 5]) for j in range(196)} for x in (words, changed)]
+        texts += [" ".join(words), " ".join(changed)]
+        jaccard.append(len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+    texts += ["spam " * 300 + sentence(1, 40), "spam " * 300 + sentence(2, 40)]  # equal fingerprints, other sets
+    kept = {r.doc_id for r in simhash.representatives(frame(spark, texts)).collect()}
+    linked = [2 * i + 1 not in kept for i in range(120)]
+    assert all(2 * i in kept for i in range(120)) and not any(x for x, s in zip(linked, jaccard) if s < 0.8)
+    assert sum(s >= 0.8 for s in jaccard) == 60
+    assert {240, 241} <= kept
+
+
 def test_multi_index_hashing_finds_every_link(spark):
     pick = random.Random(4)
     centres = [pick.getrandbits(64) for _ in range(40)]
