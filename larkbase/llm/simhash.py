@@ -207,9 +207,9 @@ def _near_by_sets(docs: DataFrame, text_col: str, id_col: str, shingle_words: in
 
 
 #: Word shingles of five at a Jaccard similarity of 0.8, which is a cosine of about 2s / (1 + s) of the shingle counts: an
-#: expected distance of 512 * acos(8 / 9) / pi = 77.6 bits, give or take 8. One such step more is allowed, and what
-#: is within it is compared by its shingles. 16 segments of 22 bits are looked up.
-WIDE = {"shingle_words": 5, "parts": 8, "segments": 16, "segment_bits": 22, "segment_radius": 1, "distance": 86, "similarity": 0.8}
+#: expected distance of 512 * acos(8 / 9) / pi = 77.6 bits, give or take 8. Four such steps more are allowed, and what
+#: is within them is compared by its shingles. 24 segments of 22 bits, the last two overlapping, are all of the 512.
+WIDE = {"shingle_words": 5, "parts": 8, "segments": 24, "segment_bits": 22, "segment_radius": 1, "distance": 110, "similarity": 0.8}
 
 
 def representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **settings: float) -> DataFrame:
