@@ -9,12 +9,47 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, discard, written
 
+#: Entries up to which all pairs of a bucket may be looked at; fuller buckets are split by further keys.
+FULL = 64
+
+
+def _merged(component: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, component) once more links (a, b) are known. Components are contracted first, so that the new graph is small."""
+    if component is None:
+        return written(connected_components(edges), "bucket-components")
+    known = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    between = edges.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    merged = written(connected_components(between), "bucket-merged").select(F.col("node").alias("c"), F.col("component").alias("new"))
+    nodes = component.unionByName(merged.select(F.col("c").alias("node"), F.col("c").alias("component"))).distinct()
+    joined = nodes.select("node", F.col("component").alias("c")).join(merged, "c", "left")
+    named = joined.select("node", F.coalesce("new", "c").alias("component")).groupBy("node").agg(F.min("component").alias("component"))
+    return written(named, "bucket-components")
+
+
+def _hits(lookups: DataFrame, close: Callable[[Column, Column], Column]) -> DataFrame:
+    """(id, key, own, b, n): lookups that meet something, with the smallest entry and the number of entries of their bucket."""
+    if "own" not in lookups.columns:
+        dealt = lookups.select("id", "key").repartition("key")
+        buckets = dealt.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+        hits = dealt.join(buckets.withColumnRenamed("key", "k"), F.col("key") == F.col("k"))
+        return written(hits.select("id", "key", F.lit(True).alias("own"), "b", "n"), "bucket-hits")
+    # One exchange for the buckets and for what looks them up. w and own share a long. In a bucket of one entry, the
+    # least tag is that entry's, so most chance meetings end within the join.
+    tag = F.shiftleft("w", 1).bitwiseOR(F.col("own").cast("long"))
+    dealt = lookups.select("id", "key", tag.alias("tag")).repartition("key")
+    own = F.col("tag").bitwiseAND(F.lit(1)) == 1
+    buckets = dealt.where(own).groupBy("key").agg(F.min("id").alias("b"), F.min("tag").alias("t"), F.count("*").alias("n"))
+    alike = close(F.shiftrightunsigned("tag", 1), F.shiftrightunsigned("t", 1))
+    hit = (F.col("key") == F.col("k")) & ((F.col("n") > 1) | ((F.col("id") != F.col("b")) & alike))
+    return written(dealt.join(buckets.withColumnRenamed("key", "k"), hit).select("id", "key", own.alias("own"), "b", "n"), "bucket-hits")
+
 
 def bucket_components(
     lookups: DataFrame,
     words: DataFrame,
     close: Callable[[Column, Column], Column],
     verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    refine: Callable[[DataFrame, int], tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataFrame:
     """(node, component) of all ids that are linked with another, links being between ids that meet in a bucket.
 
@@ -23,55 +58,50 @@ def bucket_components(
     by distinct id; close: whether two w may be linked, also if both have lost their highest bit; verify: takes
     distinct pairs (a, b), returns the linked ones.
 
-    The first pass links every lookup with the smallest entry of its bucket. The second looks, in buckets of two
-    and more entries, at all pairs whose ids the first pass left in different components. A large group of alike
-    members is thus linked by about as many rows as it has members, and no link between components is lost.
+    The first pass links every lookup with the smallest entry of its bucket. The second looks at all pairs whose ids
+    are in different components still, in buckets of at most FULL entries, so at no more than FULL pairs a lookup.
+    Fuller buckets with several components are split: refine(rows (id, key, own), level) returns new lookups,
+    among which links that those buckets hold are looked for in the same way, and the rows that can't be split, whose pairs
+    are all looked at. No link between components is capped or sampled away.
     """
-    if "own" not in lookups.columns:
-        dealt = lookups.select("id", "key").repartition("key")
-        buckets = dealt.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
-        hits = dealt.join(buckets.withColumnRenamed("key", "k").hint("shuffle_hash"), F.col("key") == F.col("k"))
-        hits = written(hits.select("id", "key", F.lit(True).alias("own"), "b", "n"), "bucket-hits")
-    else:
-        # One exchange for the buckets and for what looks them up. w and own share a long. In a bucket of one entry, the
-        # least tag is that entry's, so most chance meetings end within the join.
-        tag = F.shiftleft("w", 1).bitwiseOR(F.col("own").cast("long"))
-        dealt = lookups.select("id", "key", tag.alias("tag")).repartition("key")
-        own = F.col("tag").bitwiseAND(F.lit(1)) == 1
-        buckets = dealt.where(own).groupBy("key").agg(F.min("id").alias("b"), F.min("tag").alias("t"), F.count("*").alias("n"))
-        alike = close(F.shiftrightunsigned("tag", 1), F.shiftrightunsigned("t", 1))
-        hit = (F.col("key") == F.col("k")) & ((F.col("n") > 1) | ((F.col("id") != F.col("b")) & alike))
-        hits = dealt.join(buckets.withColumnRenamed("key", "k").hint("shuffle_hash"), hit)
-        hits = written(hits.select("id", "key", own.alias("own"), "b", "n"), "bucket-hits")
+    word = lambda x: words.select(F.col("id").alias(x), F.col("w").alias(f"w_{x}"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         return verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    word = lambda x: words.select(F.col("id").alias(x), F.col("w").alias(f"w_{x}"))
-    first = hits.where("id <> b").select(F.col("id").alias("a"), "b").distinct().join(word("a"), "a").join(word("b"), "b").where(close(F.col("w_a"), F.col("w_b")))
-    first = written(linked(first), "bucket-first")
-
-    component = written(connected_components(first), "bucket-components")
-    # Only buckets whose entries are not all in one component are left; mostly these are few.
-    named = hits.where("n > 1").select("id", "key", "own").join(component.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("id", "key", "own", F.coalesce("component", "id").alias("c")).repartition("key")
-    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select(F.col("key").alias("k"))
-    named = written(named.join(mixed.hint("shuffle_hash"), F.col("key") == F.col("k"), "left_semi"), "bucket-mixed")
-    discard(hits)
-    fuller = written(named.join(words.select("id", "w"), "id").select("id", "key", "own", "w", "c"), "bucket-fuller")
-    discard(named)
-    one = fuller.select(F.col("id").alias("a"), F.col("w").alias("w_a"), F.col("c").alias("c_a"), "key")
-    two = fuller.where("own").select(F.col("id").alias("b"), F.col("w").alias("w_b"), F.col("c").alias("c_b"), F.col("key").alias("k"))
-    rest = one.join(two, (F.col("key") == F.col("k")) & (F.col("c_a") != F.col("c_b")) & close(F.col("w_a"), F.col("w_b")))
-    rest = written(linked(rest), "bucket-rest")
-    discard(fuller)
-    if rest.isEmpty():
-        return component
-
-    # The second pass links components: they are contracted first, so that this graph is small.
-    known = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    between = rest.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    merged = written(connected_components(between), "bucket-merged").select(F.col("node").alias("c"), F.col("component").alias("new"))
-    nodes = component.unionByName(merged.select(F.col("c").alias("node"), F.col("c").alias("component"))).distinct()
-    joined = nodes.select("node", F.col("component").alias("c")).join(merged, "c", "left")
-    return joined.select("node", F.coalesce("new", "c").alias("component")).groupBy("node").agg(F.min("component").alias("component"))
+    def between(rows: DataFrame) -> DataFrame:
+        """Pairs of rows (id, key, own, w, c) of a bucket in different components, each once if both are entries."""
+        one = rows.select(F.col("id").alias("a"), F.col("own").alias("own_a"), F.col("w").alias("w_a"), F.col("c").alias("c_a"), "key")
+        two = rows.where("own").select(F.col("id").alias("b"), F.col("w").alias("w_b"), F.col("c").alias("c_b"), F.col("key").alias("k"))
+        once = ~F.col("own_a") | (F.col("a") < F.col("b"))
+        return one.join(two, (F.col("key") == F.col("k")) & (F.col("c_a") != F.col("c_b")) & once & close(F.col("w_a"), F.col("w_b"))).select("a", "b")
+
+    component, level = None, 0
+    while True:
+        hits = _hits(lookups, close)
+        first = hits.where("id <> b").select(F.col("id").alias("a"), "b").distinct().join(word("a"), "a").join(word("b"), "b").where(close(F.col("w_a"), F.col("w_b")))
+        component = _merged(component, written(linked(first), "bucket-first"))
+        # Only buckets whose entries are not all in one component are left; mostly these are few.
+        named = hits.where("n > 1").select("id", "key", "own", "n").join(component.withColumnRenamed("node", "id"), "id", "left")
+        named = named.select("id", "key", "own", "n", F.coalesce("component", "id").alias("c"))
+        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select(F.col("key").alias("k"))
+        named = written(named.join(mixed, F.col("key") == F.col("k"), "left_semi"), "bucket-mixed")
+        discard(hits)
+        fuller = written(named.join(words.select("id", "w"), "id").select("id", "key", "own", "n", "w", "c"), "bucket-fuller")
+        discard(named)
+        small = fuller if refine is None else fuller.where(F.col("n") <= FULL)
+        rest = written(linked(between(small)), "bucket-rest")
+        if not rest.isEmpty():
+            component = _merged(component, rest)
+        crowded = fuller.where(F.col("n") > FULL).select("id", "key", "own")
+        if refine is None or crowded.isEmpty():
+            discard(fuller)
+            return component
+        level += 1
+        lookups, stuck = refine(crowded, level)
+        if not stuck.isEmpty():
+            rows = stuck.join(words.select("id", "w"), "id").join(component.withColumnRenamed("node", "id"), "id", "left")
+            last = written(linked(between(rows.withColumn("c", F.coalesce("component", "id")))), "bucket-last")
+            component = _merged(component, last)
+        if lookups.isEmpty():
+            return component
