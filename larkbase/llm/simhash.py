@@ -6,7 +6,7 @@ each byte of a hash to eight packed byte counters, summed over at most 255 shing
 
 Links: fingerprints are cut into segments. Two fingerprints whose full distance is at most r have a segment in
 which they differ by at most r // segments bits, so each fingerprint looks up the small Hamming ball around each
-of its segments in the table of segments, and complete distances are verified in the join. Lookups are made by
+of its segments (of radius 1: only towards more bits, as one of two sides then has the other in it) in the table of segments, and complete distances are verified in the join. Lookups are made by
 distinct fingerprints, so copies are never paired with one another.
 
 Groups of near copies are not expanded into all their pairs; see ``links.py``.
@@ -146,10 +146,14 @@ def components(distinct: DataFrame, parts: int, segments: int, segment_bits: int
     word_distance = distance if parts == 1 else min(32, distance // parts + round(3 * (distance / parts) ** 0.5))
     words = distinct.select("id", F.element_at("fp", 1).alias("w"))
     keys = F.array(*[_segment("fp", min(i * segment_bits, 64 * parts - segment_bits), segment_bits).bitwiseOR(F.lit(i << segment_bits)) for i in range(segments)])
-    flips = [0] + [sum(1 << x for x in c) for r in range(1, segment_radius + 1) for c in combinations(range(segment_bits), r)]
-    ball = F.array(*[F.lit(x).cast("long") for x in flips])
-    lookups = distinct.select("id", F.element_at("fp", 1).alias("w"), F.explode(keys).alias("segment")).select("id", "w", "segment", F.explode(ball).alias("flip"))
-    lookups = lookups.select("id", "w", F.col("segment").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("own"))
+    segment = F.col("segment")
+    if segment_radius == 1:
+        # Of two segments that differ in one bit one has 0 there, and that one looks the other up.
+        ball = [F.when(segment.bitwiseAND(F.lit(1 << x).cast("long")) == 0, segment.bitwiseOR(F.lit(1 << x).cast("long"))) for x in range(segment_bits)]
+    else:
+        ball = [segment.bitwiseXOR(F.lit(sum(1 << x for x in c)).cast("long")) for r in range(1, segment_radius + 1) for c in combinations(range(segment_bits), r)]
+    lookups = distinct.select("id", F.element_at("fp", 1).alias("w"), F.explode(keys).alias("segment")).select("id", "w", "segment", F.explode(F.array(segment, *ball)).alias("key"))
+    lookups = lookups.where("key IS NOT NULL").select("id", "w", "key", (F.col("key") == segment).alias("own"))
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= word_distance
     return bucket_components(lookups, words, close, lambda pairs: verify(_verified(pairs, distinct, parts, distance)))
 
