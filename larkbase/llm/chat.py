@@ -1,8 +1,8 @@
 """Quotation linking: reply-ordered conversations without quotes.
 
 Messages are parsed line by line into nesting levels of ``>``. Each run of lines of a level is a quoted passage; the
-lines without markers are the message's own body. Passages and bodies, whole and line by line, are normalised and
-hashed, and passages are joined to the earliest message that has the text as its own: in the same conversation
+lines without markers are the message's own body. Passages and bodies, whole, line by line and sentence by sentence
+(whatever the line breaks), are normalised and hashed, and passages are joined to the earliest message that has the text as its own: in the same conversation
 before the quoting turn, else anywhere. The message quoted with most words at the lowest level is the parent.
 """
 
@@ -21,9 +21,10 @@ from .shared import join_small, key_filter, passing, written
 _MARKERS = re.compile(r"[ \t]*(?:>[ \t]?)+")
 #: A line that announces a quotation, such as "On Monday, somebody wrote:".
 _ANNOUNCES = re.compile(r"(?i)(?:on|am|le|el)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\s?:\s*")
-#: Single lines of a passage are looked up by themselves from this many words on.
+#: Words from which a quotation is looked up in other conversations too; shorter ones only in their own.
 LINE_WORDS = 4
-#: Root turns that share a block when positions are counted.
+_SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+")
+#: Root turns that share a block, and turns of a thread that share a part, when positions are counted.
 BLOCK = 256
 
 _QUOTE = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("hash", T.StringType()), T.StructField("words", T.IntegerType())])
@@ -41,7 +42,7 @@ def normal_words(text: str) -> list[str]:
 
 
 def parse(text: str | None) -> tuple[str | None, list[tuple[int, str, int]], list[str]]:
-    """Body without quotes; (level, hash, words) of quoted passages and their longer lines; hashes of the body's parts."""
+    """Body without quotes; (level, hash, words) of quoted passages, their lines and sentences; hashes of the body's parts."""
     if text is None:
         return None, [], []
     body: list[str] = []
@@ -63,11 +64,11 @@ def parse(text: str | None) -> tuple[str | None, list[tuple[int, str, int]], lis
     for level, lines in runs:
         if words := normal_words("\n".join(lines)):
             quotes[level, _digest(words)] = len(words)
-        if len(lines) > 1:
-            for line in lines:
-                if len(words := normal_words(line)) >= LINE_WORDS:
-                    quotes.setdefault((level, _digest(words)), len(words))
-    own = {_digest(words) for x in ["\n".join(body), *body] if (words := normal_words(x))}
+        for part in [*lines, *_SENTENCE.split("\n".join(lines))]:
+            if words := normal_words(part):
+                quotes.setdefault((level, _digest(words)), len(words))
+    whole = "\n".join(body)
+    own = {_digest(words) for x in [whole, *body, *_SENTENCE.split(whole)] if (words := normal_words(x))}
     kept = "\n".join(body).strip("\n") if runs else text
     return kept, [(level, h, n) for (level, h), n in quotes.items()], sorted(own)
 
@@ -125,7 +126,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     anywhere = here.where("conv IS NOT NULL").groupBy("hash").agg(F.min(F.struct("conv", F.col("here").alias("turn"))).alias("far"))
     found = join_small(join_small(quotes.drop("h"), here, ["hash", "conv"], "left"), anywhere, "hash", "left")
     near = F.col("here") < F.col("turn")
-    other = F.col("far").isNotNull() & ~F.col("far.conv").eqNullSafe(F.col("conv"))
+    other = F.col("far").isNotNull() & (F.col("words") >= LINE_WORDS) & ~F.col("far.conv").eqNullSafe(F.col("conv"))
     target = F.when(near, F.struct("conv", F.col("here").alias("turn"))).when(other, F.col("far"))
     found = found.withColumn("target", target).where("target IS NOT NULL")
     votes = found.groupBy("conv", "turn", "target").agg(F.min("level").alias("level"), F.sum("words").alias("words"))
@@ -137,13 +138,17 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     rows = join_small(parsed.select("conv", "turn", "role", "body"), placed, F.col("conv").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")), "left")
     rows = rows.withColumn("root", F.coalesce("root", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0).cast("long"))).drop("c", "t")
 
-    # Positions: numbered within blocks of root turns, from where the counts of the blocks before end.
-    rows = written(rows.withColumn("block", F.floor(F.col("root") / BLOCK)), "chat-rows")
-    counts = rows.groupBy("conv", "block").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col("conv").alias("c"), F.col("block").alias("b"), before.alias("before")).where("before > 0")
-    number = F.row_number().over(Window.partitionBy("conv", "block").orderBy("root", "turn", "role", "body")) - 1
-    rows = rows.withColumn("number", number).join(counts, F.col("conv").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")), "left")
+    # Positions: numbered within parts of threads, from where the parts before end. Neither a conversation nor a thread
+    # is sorted as a whole: sums run over its parts, first within blocks of roots, then over the blocks.
+    rows = written(rows.withColumn("block", F.floor(F.col("root") / BLOCK)).withColumn("part", F.floor(F.col("turn") / BLOCK)), "chat-rows")
+    parts = written(rows.groupBy("conv", "block", "root", "part").agg(F.count("*").alias("n")), "chat-parts")
+    upto = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = parts.groupBy("conv", "block").agg(F.sum("n").alias("n")).withColumn("outer", upto(["conv"], ["block"])).select(F.col("conv").alias("c"), F.col("block").alias("b"), "outer")
+    parts = parts.withColumn("inner", upto(["conv", "block"], ["root", "part"]))
+    parts = parts.join(blocks, F.col("conv").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")))
+    parts = parts.select(F.col("conv").alias("c"), F.col("root").alias("r"), F.col("part").alias("p"), (F.col("inner") + F.col("outer")).alias("before"))
+    number = F.row_number().over(Window.partitionBy("conv", "root", "part").orderBy("turn", "role", "body")) - 1
+    rows = rows.withColumn("number", number).join(parts, F.col("conv").eqNullSafe(F.col("c")) & F.col("root").eqNullSafe(F.col("r")) & F.col("part").eqNullSafe(F.col("p")))
     return rows.select(
         F.col("conv").alias("conv_id"),
         "turn",
@@ -153,5 +158,5 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         "reply_to",
         F.col("root").alias("root_turn"),
         "depth",
-        (F.col("number") + F.coalesce("before", F.lit(0))).cast("long").alias("position"),
+        (F.col("number") + F.col("before")).cast("long").alias("position"),
     )

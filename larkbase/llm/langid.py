@@ -5,8 +5,8 @@ to right into the longest phrases that occur in the language's sample; walking t
 each longest match. The language that needs the fewest phrases, normalised by the text's length, wins.
 
 The walk of an automaton, with its restart at the root when a phrase ends, is one lookup per character in a
-flat table. Many texts walk in lockstep with numpy, and texts longer than a strip are cut into strips, each of
-which starts a new phrase; every character of every text is read.
+flat table. Many texts walk in lockstep with numpy; where only a few long ones are left, they go on one by one from
+where they are. Every text is one walk from its first to its last character.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of the sample: documents per language, and characters per language and per document.
-SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS = 64, 24_000, 2_000
-#: Characters per strip of a text.
-STRIP = 1024
+#: Bounds of the sample: documents per language, characters per language, and languages. Documents are taken whole.
+SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 64, 48_000, 256
+#: Entries of a language's table of moves: with a large alphabet, fewer documents are learned from.
+ENTRIES = 8_000_000
+#: Texts that are fewer walk one by one; symbols of a group of texts that walk in lockstep.
+FEW, CELLS = 40, 1 << 25
 _PHRASE = np.int32(1 << 30)
 
 
@@ -78,7 +80,10 @@ class CrossParser:
         for language in self.languages:
             symbols: list[int] = []
             for text in samples[language]:
-                symbols += self.symbols(text).tolist()
+                new = self.symbols(text).tolist()
+                if symbols and 2 * (len(symbols) + len(new)) * self.alphabet > ENTRIES:
+                    break
+                symbols += new
             table = suffix_automaton(symbols, self.alphabet)
             # Where a phrase ends, the next begins at the root. One more state comes before a text and after a symbol
             # that the sample does not have, which is a phrase by itself.
@@ -94,17 +99,25 @@ class CrossParser:
         return found[np.concatenate(([True], (found[1:] != 0) | (found[:-1] != 0)))]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases [text, language] that each text's symbols need, strips counted one by one."""
-        owner = np.concatenate([np.full(-(-len(x) // STRIP), i) for i, x in enumerate(texts)])
-        strips = [x[k : k + STRIP] for x in texts for k in range(0, len(x), STRIP)]
-        sizes = np.array([len(x) for x in strips])
-        order = np.argsort(-sizes, kind="stable")
-        sizes, owner = sizes[order], owner[order]
-        flat = np.zeros((len(strips), int(sizes[0])), self.code.dtype)
-        for row, k in enumerate(order.tolist()):
-            flat[row, : len(strips[k])] = strips[k]
+        """Phrases [text, language] that each text's symbols need."""
+        out = np.zeros((len(texts), len(self.tables)), np.int64)
+        order, at = sorted(range(len(texts)), key=lambda i: -len(texts[i])), 0
+        while at < len(order):
+            rows = order[at : at + max(1, CELLS // max(1, len(texts[order[at]])))]
+            out[rows] = self._walk([texts[i] for i in rows])
+            at += len(rows)
+        return out
+
+    def _walk(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases of texts, the longest first."""
+        sizes = np.array([len(x) for x in texts])
+        together = int(sizes[FEW - 1]) if len(texts) >= FEW else 0
+        flat = np.zeros((len(texts), together), self.code.dtype)
+        for row, x in enumerate(texts):
+            flat[row, : min(len(x), together)] = x[:together]
         columns = np.ascontiguousarray(flat.T)
-        alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, len(columns) + 1), "left")
+        alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, together + 1), "left")
+        rest = [(row, x[together:].tolist()) for row, x in enumerate(texts) if len(x) > together]
         out = np.zeros((len(texts), len(self.tables)), np.int64)
         for j, (moves, before) in enumerate(self.tables):
             state, begun = np.full(len(sizes), before, np.int32), np.zeros(len(sizes), np.int32)
@@ -112,7 +125,15 @@ class CrossParser:
                 to = moves[state[:n] + symbols[:n]]
                 begun[:n] += to >= _PHRASE
                 state[:n] = to & (_PHRASE - 1)
-            out[:, j] = np.bincount(owner, weights=begun, minlength=len(texts))
+            flat_moves, phrase = memoryview(moves), int(_PHRASE)
+            for row, symbols in rest:
+                at, more = int(state[row]), 0
+                for symbol in symbols:
+                    at = flat_moves[at + symbol]
+                    if at >= phrase:
+                        more, at = more + 1, at - phrase
+                begun[row] += more
+            out[:, j] = begun
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -136,19 +157,24 @@ class CrossParser:
         return out
 
 
-def learned(labelled: DataFrame, text_col: str, lang_col: str, key: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, doc_chars: int = DOC_CHARS) -> CrossParser:
-    """A parser from a sample bounded per language: one document from each of sample_docs hash buckets."""
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+def learned(labelled: DataFrame, text_col: str, lang_col: str, key: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> CrossParser:
+    """A parser from a sample bounded per language: one document from each of sample_docs hash buckets, whole ones.
+
+    Documents of more than a quarter of sample_chars are not learned from, and only the most frequent languages are learned.
+    Null texts and labels are left out; an empty table gives a parser without languages.
+    """
+    named = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    frequent = [r.l for r in named.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(languages).collect()]
+    usable = named.where(F.col(lang_col).isin(frequent) & (F.char_length(text_col) <= sample_chars // 4)) if frequent else named
     place = F.xxhash64(key)
     picked = usable.groupBy(F.col(lang_col).alias("l"), F.pmod(place, F.lit(sample_docs)).alias("bucket")).agg(F.min(place).alias("place"))
     wanted = [r.place for r in picked.collect()]
-    rows = usable.where(place.isin(wanted)).select(lang_col, place, F.substring(text_col, 1, doc_chars)).distinct().collect() if wanted else []
+    rows = usable.where(place.isin(wanted)).select(lang_col, place, text_col).distinct().collect() if wanted else []
     samples: dict[str, list[str]] = {}
     for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         texts = samples.setdefault(lang, [])
-        room = sample_chars - sum(map(len, texts))
-        if room > 0:
-            texts.append(text[:room])
+        if sum(map(len, texts)) + len(text) <= sample_chars:
+            texts.append(text)
     return CrossParser(samples)
 
 

@@ -81,7 +81,7 @@ def mix(
     plan = plan.alias("p").join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
     part = (F.col("need") - (F.col("edge.upto") - F.col("edge.mass"))) / F.col("edge.mass")
     plan = plan.select(
-        F.col("p.source").alias("plan_source"), "source_size", "target", "whole", F.coalesce("edge.bucket", F.lit(BUCKETS)).alias("edge"), part.alias("part"), (F.col("edge.n") == 1).alias("alone")
+        F.col("p.source").alias("plan_source"), "source_size", "target", "whole", F.when((F.col("need") <= 0) & (F.col("source_size") > 0), -1).otherwise(F.coalesce("edge.bucket", F.lit(BUCKETS))).alias("edge"), part.alias("part"), (F.col("edge.n") == 1).alias("alone")
     )
     rows = join_small(sized, plan, F.col("mix.source").eqNullSafe(F.col("plan_source")))
     chance = F.when(F.col("alone"), F.lit(0.5)).otherwise((F.col("mix.draw") + 0.5) / 2.0**32)
@@ -96,4 +96,5 @@ def mix(
 def mixed(docs: DataFrame, **settings: object) -> DataFrame:
     """The mixture itself: each document as many times as the mix takes it, with its own columns."""
     rows = mix(docs, **settings)
-    return rows.where("mix.repeats > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("mix.repeats").cast("int"))).alias("__copy")).drop("mix", "__copy")
+    doc = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "mix"]).alias("doc")
+    return rows.where("mix.repeats > 0").select(doc, F.explode(F.sequence(F.lit(1), F.col("mix.repeats").cast("int"))).alias("copy")).select("doc.*")

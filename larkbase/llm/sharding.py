@@ -1,9 +1,9 @@
 """A sharded table with size-tiered compaction and a versioned manifest.
 
 Arrivals are appended as small immutable Parquet shards, one or more per task, without a shuffle. Compaction takes
-the shards of a size tier and merges runs of them into files of the target size: Spark's file scan itself packs
-small files into partitions of at most that size, and each partition is written as one shard, so nothing is
-shuffled. The list of live shards is a Parquet table of its own for each version; a version exists once its pointer
+the shards of a size tier and merges runs of them into files of up to the target size, again and again until no tier has a
+run: Spark's file scan itself packs small files into partitions of at most that size, and each partition is written as
+one shard, so nothing is shuffled. Shards of over half the target are finished, as no two of them fit into one. The list of live shards is a Parquet table of its own for each version; a version exists once its pointer
 has been renamed into place, which fails if another writer was first. Readers see the version they opened.
 """
 
@@ -28,10 +28,12 @@ class ShardStore:
     """A table of immutable shards below ``path``.
 
     target_bytes: size of a finished shard. fanout: shards of a tier that make a run worth merging, and the ratio
-    between tiers. arrival_rows: most rows of an arriving shard.
+    between tiers. arrival_rows: most rows of an arriving shard. Rows are stored as they come: nulls, ties, repeated rows and
+    very long texts included. The first arrival fixes the columns; without rows there are no shards, and read() gives no rows.
+    Paths of shards are on the driver while they are read or merged, as Spark's own list of files is.
     """
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 64 << 20, fanout: int = 4, arrival_rows: int = 2_000) -> None:
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 64 << 20, fanout: int = 4, arrival_rows: int = 20_000) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self.target_bytes, self.fanout, self.arrival_rows = target_bytes, fanout, arrival_rows
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -84,9 +86,9 @@ class ShardStore:
     # -- shards
 
     def _tier(self, size: Column) -> Column:
-        """0 for finished shards; else how many powers of fanout a shard is short of the target."""
-        short = F.floor(F.log(F.lit(float(self.target_bytes)) / F.greatest(size, F.lit(1))) / math.log(self.fanout))
-        return F.greatest(short, F.lit(0)).cast("int")
+        """0 for finished shards, of over half the target; else one more for each power of fanout that a shard is smaller."""
+        short = F.floor(F.log(F.lit(self.target_bytes / 2) / F.greatest(size, F.lit(1))) / math.log(self.fanout)) + 1
+        return F.when(2 * size > self.target_bytes, 0).otherwise(F.greatest(short, F.lit(1))).cast("int")
 
     def _written_shards(self, folder: str, version: int) -> DataFrame:
         """Manifest rows of the files below a folder, from the files themselves."""
@@ -97,18 +99,26 @@ class ShardStore:
     def append(self, arrivals: DataFrame) -> int:
         """Adds rows as small shards in one commit; returns the version. No rows, no shards."""
         base = self.version()
+        if not self._fs().exists(self._file(f"{self.path}/columns/_SUCCESS")):
+            arrivals.limit(0).write.mode("overwrite").parquet(f"{self.path}/columns")
         folder = f"{self.path}/shards/{uuid.uuid4().hex}"
         arrivals.write.option("maxRecordsPerFile", self.arrival_rows).option("compression", "zstd").parquet(folder)
         added = self._written_shards(folder, base + 1) if arrivals.columns else self.manifest(0)
         return self._commit(base, self.manifest(base).unionByName(added))
 
     def compact(self) -> int:
-        """Merges every tier below the target that has a run of at least ``fanout`` shards; one commit if any has."""
+        """Merges runs of at least ``fanout`` shards of a tier until there are none; one commit for each round."""
+        version = self.version()
+        while (newer := self._compact_once()) is not None:
+            version = newer
+        return version
+
+    def _compact_once(self) -> int | None:
         base = self.version()
         live = written(self.manifest(base), "manifest")
         tiers = [r.tier for r in live.where("tier > 0").groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fanout).orderBy("tier").collect()]
         if not tiers:
-            return base
+            return None
         # A session of its own, so that the packing of files into partitions does not change the caller's settings.
         merging = self.spark.newSession()
         merging.conf.set("spark.sql.files.maxPartitionBytes", str(self.target_bytes))
@@ -125,6 +135,16 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with hidden column ``_metadata`` telling the shard."""
         paths = [r.shard for r in self.manifest(version).select("shard").toLocalIterator()]
-        if not paths:
-            raise ValueError("the table has no shards")
-        return self.spark.read.parquet(*paths)
+        return self.spark.read.parquet(*(paths or [f"{self.path}/columns"]))
+
+    def vacuum(self) -> None:
+        """Deletes folders of which no shard is in the newest version, those of failed commits too.
+
+        Older versions can't be read after it. Not to be called while another writer works.
+        """
+        folder = F.regexp_extract("shard", "([^/]+)/[^/]+$", 1)
+        live = {r[0] for r in self.manifest().select(folder).distinct().toLocalIterator()}
+        shards = self._file(f"{self.path}/shards")
+        for found in self._fs().listStatus(shards) if self._fs().exists(shards) else []:
+            if found.getPath().getName() not in live:
+                self._fs().delete(found.getPath(), True)

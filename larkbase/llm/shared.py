@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         configured = sc.getCheckpointDir()
     if not configured:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="larkbase-")
     if not sc.getCheckpointDir():

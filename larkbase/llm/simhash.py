@@ -224,9 +224,9 @@ def representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     found = near_duplicates(docs, text_col, id_col, **(WIDE | settings))
     gone = written(found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct(), "simhash-gone")
-    rows = docs.withColumn("__key", F.xxhash64(F.col(f"`{id_col}`")))
-    gone = gone.select(F.xxhash64("doc_id").alias("__key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(F.col(f"`{id_col}`")).alias("key"))
+    gone = gone.select(F.xxhash64("doc_id").alias("key"))
     # Documents that surely stay are not moved.
-    filtered = key_filter(gone, "__key")
-    maybe = passing(rows, "__key", filtered).join(gone, "__key", "left_anti")
-    return maybe.unionByName(passing(rows, "__key", filtered, absent=True)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    filtered = key_filter(gone, "key")
+    maybe = passing(rows, "key", filtered).join(gone, "key", "left_anti")
+    return maybe.unionByName(passing(rows, "key", filtered, absent=True)).select("doc.*")
