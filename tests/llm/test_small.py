@@ -231,6 +231,21 @@ def test_lines_of_a_crowded_bucket_find_each_other(spark, monkeypatch):
     assert sum(rows[i] for i in range(60)) == 0 and sum(rows[i] for i in range(60, 90)) >= 29
 
 
+def test_no_pair_of_a_crowded_bucket_is_lost(spark, monkeypatch):
+    """Lines share a passage, and pairs of them nothing rarer: a letter is changed in every third word of what follows it."""
+    for name, value in (("line_dedup.FULL", 8), ("line_dedup.SLICE", 8), ("links.PART", 6)):
+        monkeypatch.setattr(f"larkbase.llm.{name}", value, raising=False)
+    pick = random.Random(21)
+    passage = "extraordinary circumstances international cooperation responsibilities administrative transformation understanding"
+    texts = []
+    for _ in range(24):
+        tail = ["".join(pick.choice("abcdefghijklmnopqrst") for _ in range(5)) for _ in range(20)]
+        other = [f"{w[:2]}z{w[3:]}" if i % 3 == 0 else w for i, w in enumerate(tail)]
+        texts += [" ".join([passage, *tail]), " ".join([passage, *other])]
+    rows = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(frame(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [0, 1] * 24
+
+
 def test_recall_of_lines_at_a_similarity_of_0_8(spark):
     """Pairs of five to a hundred words, a fifth or a tenth of them replaced, lost or added: nine in ten of each class are found."""
     pick = random.Random(12)
