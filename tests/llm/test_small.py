@@ -233,7 +233,7 @@ def test_lines_of_a_crowded_bucket_find_each_other(spark, monkeypatch):
 
 def test_no_pair_of_a_crowded_bucket_is_lost(spark, monkeypatch):
     """Lines share a passage, and pairs of them nothing rarer: a letter is changed in every third word of what follows it."""
-    for name, value in (("line_dedup.FULL", 8), ("line_dedup.SLICE", 8), ("links.PART", 6)):
+    for name, value in (("line_dedup.FULL", 8), ("links.FULL", 8), ("line_dedup.SLICE", 64), ("links.PART", 6)):
         monkeypatch.setattr(f"larkbase.llm.{name}", value, raising=False)
     pick = random.Random(21)
     passage = "extraordinary circumstances international cooperation responsibilities administrative transformation understanding"
