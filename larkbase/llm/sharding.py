@@ -2,8 +2,8 @@
 
 Arrivals are appended as small immutable Parquet shards, one or more per task, without a shuffle. Compaction takes
 the shards of a size tier and merges runs of them into files of up to the target size, again and again until no tier has a
-run: Spark's file scan itself packs small files into partitions of at most that size, and each partition is written as
-one shard, so nothing is shuffled. Shards of over half the target are finished, as no two of them fit into one. The list of live shards is a Parquet table of its own for each version; a version exists once its pointer
+run: Spark's file scan itself packs small files into partitions of at most that size (partitions are put together where a
+platform holds the size of scans lower), and each partition is written as one shard, so nothing is shuffled. Shards of over half the target are finished, as no two of them fit into one. The list of live shards is a Parquet table of its own for each version; a version exists once its pointer
 has been renamed into place, which fails if another writer was first. Readers see the version they opened.
 """
 
@@ -116,7 +116,8 @@ class ShardStore:
     def _compact_once(self) -> int | None:
         base = self.version()
         live = written(self.manifest(base), "manifest")
-        tiers = [r.tier for r in live.where("tier > 0").groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fanout).orderBy("tier").collect()]
+        runs = live.where("tier > 0").groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= max(2, self.fanout))
+        tiers = {r.tier: r.bytes for r in runs.orderBy("tier").collect()}
         if not tiers:
             return None
         # A session of its own, so that the packing of files into partitions does not change the caller's settings.
@@ -124,11 +125,16 @@ class ShardStore:
         merging.conf.set("spark.sql.files.maxPartitionBytes", str(self.target_bytes))
         merging.conf.set("spark.sql.files.openCostInBytes", "0")
         merging.conf.set("spark.sql.files.minPartitionNum", "1")
-        merged = live.where(~F.col("tier").isin(tiers))
-        for tier in tiers:
+        merged = live.where(~F.col("tier").isin(list(tiers)))
+        for tier, size in tiers.items():
             paths = [r.shard for r in live.where(F.col("tier") == tier).select("shard").toLocalIterator()]
             folder = f"{self.path}/shards/{uuid.uuid4().hex}"
-            merging.read.parquet(*paths).write.option("compression", "zstd").parquet(folder)
+            rows, full = merging.read.parquet(*paths), -(-size // self.target_bytes)
+            # Packed to the target, all partitions but one are over half full. More of them mean that the settings were not
+            # taken; each round has to leave fewer shards than it found, or compaction never ends.
+            if rows.rdd.getNumPartitions() > 2 * full + 1:
+                rows = rows.coalesce(full)
+            rows.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(folder)
             merged = merged.unionByName(self._written_shards(folder, base + 1))
         return self._commit(base, merged)
 

@@ -425,6 +425,26 @@ def test_shards_tiers_versions_and_lost_races(spark, tmp_path):
     assert none.compact() == 1 and none.read().columns == docs.columns and none.read().count() == 0
 
 
+def test_compaction_ends_where_the_size_of_scans_is_held(spark, tmp_path, monkeypatch):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, fanout=3, arrival_rows=100)
+    store.append(docs.repartition(20, "doc_id"))
+    conf, held = type(spark.conf), {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "4k"}
+    monkeypatch.setattr(conf, "set", lambda self, key, value, put=conf.set: put(self, key, held.get(key, value)))
+    commit, rounds = store._commit, []
+
+    def counted(*args):
+        rounds.append(1)
+        assert len(rounds) < 6, "compaction does not end"
+        return commit(*args)
+
+    monkeypatch.setattr(store, "_commit", counted)
+    store.compact()
+    after = store.manifest().collect()
+    assert len(after) <= 4 and sum(r.rows for r in after) == 2000 and max(Counter(r.tier for r in after).values()) < 3
+    assert store.read().exceptAll(docs).count() == 0 and store.read().count() == 2000
+
+
 # -- 6
 
 
