@@ -390,6 +390,16 @@ def test_representatives_take_five_words_and_similarity(spark):
     assert sum(i in kept for i in near) <= 2  # three of 300 words changed: similarity above 0.9
 
 
+def test_long_line_with_one_moved_word_is_linked(spark):
+    # The only word that both lines have once stands elsewhere; edits counted around it alone would be far too many.
+    pick = random.Random(5)
+    words = [pick.choice(WORDS) for _ in range(600)]
+    one, two = (" ".join(words[:i] + ["zz"] + words[i:]) for i in (100, 500))
+    assert len(one) > line_dedup.LONG
+    left = line_dedup.line_dedup(frame(spark, [one, two])).orderBy("doc_id").collect()
+    assert [r.n_dropped for r in left] == [0, 1] and left[0].text == one
+
+
 # -- 5
 
 
