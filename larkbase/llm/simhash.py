@@ -136,6 +136,34 @@ def _distance(a: str, b: str, parts: int) -> Column:
     return total
 
 
+def _by_halves(distinct: DataFrame, segments: list[Column], bits: int) -> DataFrame:
+    """Entries (id, w, deal, key) of every segment.
+
+    Two segments that differ in one bit have one of their halves in common. So each is dealt twice, by its upper half (side 0) and
+    by its lower half (side 1), and what it looks up is made where it was dealt to: two rows of a segment are moved, not
+    one for each bit.
+    """
+    low = bits // 2
+    rows = distinct.select("id", F.element_at("fp", 1).alias("w"), F.posexplode(F.array(*segments)).alias("i", "segment"))
+    rows = rows.select("id", "w", "i", "segment", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    half = F.when(F.col("side") == 0, F.shiftrightunsigned("segment", low)).otherwise(F.col("segment").bitwiseAND(F.lit((1 << low) - 1)))
+    of = F.shiftleft((2 * F.col("i") + F.col("side")).cast("long"), bits)
+    return rows.select("id", "w", of.bitwiseOR(half).alias("deal"), of.bitwiseOR(F.col("segment")).alias("key"))
+
+
+def _looked_up(entries: DataFrame, bits: int) -> DataFrame:
+    """(id, w, deal, entry, key): keys that entries of _by_halves look up, their own and those with one more bit in the half by which they were not dealt.
+
+    Of two segments that differ in one bit one has 0 there, and that one looks the other up.
+    """
+    low, key = bits // 2, F.col("entry")
+    rows = entries.select("id", "w", "deal", F.col("key").alias("entry"))
+    rows = rows.withColumn("turn", (F.shiftrightunsigned(key, bits).bitwiseAND(F.lit(1)) * low).cast("int"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1 << x).cast("long"), F.col("turn"))
+    ball = [F.when(key.bitwiseAND(bit(x)) == 0, key.bitwiseOR(bit(x))) for x in range(bits - low)]
+    return rows.select("id", "w", "deal", "entry", F.explode(F.array(key, *ball)).alias("key")).where("key IS NOT NULL")
+
+
 def components(distinct: DataFrame, parts: int, segments: int, segment_bits: int, segment_radius: int, distance: int, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """From (id, fp) with distinct ids, (node, component) of ids linked by at most ``distance`` bits and by ``verify``.
 
@@ -145,16 +173,15 @@ def components(distinct: DataFrame, parts: int, segments: int, segment_bits: int
     # One word of the fingerprint is compared in the lookup; with more words, loosely, before all of it is verified.
     word_distance = distance if parts == 1 else min(32, distance // parts + round(3 * (distance / parts) ** 0.5))
     words = distinct.select("id", F.element_at("fp", 1).alias("w"))
-    keys = F.array(*[_segment("fp", min(i * segment_bits, 64 * parts - segment_bits), segment_bits).bitwiseOR(F.lit(i << segment_bits)) for i in range(segments)])
-    segment = F.col("segment")
+    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= word_distance
+    cut = [_segment("fp", min(i * segment_bits, 64 * parts - segment_bits), segment_bits) for i in range(segments)]
     if segment_radius == 1:
-        # Of two segments that differ in one bit one has 0 there, and that one looks the other up.
-        ball = [F.when(segment.bitwiseAND(F.lit(1 << x).cast("long")) == 0, segment.bitwiseOR(F.lit(1 << x).cast("long"))) for x in range(segment_bits)]
-    else:
-        ball = [segment.bitwiseXOR(F.lit(sum(1 << x for x in c)).cast("long")) for r in range(1, segment_radius + 1) for c in combinations(range(segment_bits), r)]
+        return bucket_components(_by_halves(distinct, cut, segment_bits), words, close, lambda pairs: verify(_verified(pairs, distinct, parts, distance)), ball=lambda entries: _looked_up(entries, segment_bits))
+    keys = F.array(*[x.bitwiseOR(F.lit(i << segment_bits)) for i, x in enumerate(cut)])
+    segment = F.col("segment")
+    ball = [segment.bitwiseXOR(F.lit(sum(1 << x for x in c)).cast("long")) for r in range(1, segment_radius + 1) for c in combinations(range(segment_bits), r)]
     lookups = distinct.select("id", F.element_at("fp", 1).alias("w"), F.explode(keys).alias("segment")).select("id", "w", "segment", F.explode(F.array(segment, *ball)).alias("key"))
-    lookups = lookups.where("key IS NOT NULL").select("id", "w", "key", (F.col("key") == segment).alias("own"))
-    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= word_distance
+    lookups = lookups.select("id", "w", "key", (F.col("key") == segment).alias("own"))
     return bucket_components(lookups, words, close, lambda pairs: verify(_verified(pairs, distinct, parts, distance)))
 
 

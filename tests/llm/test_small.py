@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from larkbase.llm import chat, exact_dedup, langid, line_dedup, mixing, packing, quality, sharding, shared, simhash, surrogates
+from larkbase.llm import chat, exact_dedup, langid, line_dedup, links, mixing, packing, quality, sharding, shared, simhash, surrogates
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -362,6 +362,21 @@ def test_multi_index_hashing_finds_every_link(spark):
     assert found == {x: c for x, c in expected.items() if c not in alone}
 
 
+@pytest.mark.parametrize("bits", [32, 21])
+def test_two_rows_of_a_segment_are_dealt_and_one_changed_bit_is_found(spark, monkeypatch, bits):
+    """What a segment looks up, one key for each of its bits, is made after entries are dealt."""
+    dealt, hits = [], links._hits
+    monkeypatch.setattr(links, "_hits", lambda lookups, *rest: dealt.append(lookups.count()) or hits(lookups, *rest))
+    pick = random.Random(6)
+    centres = [pick.getrandbits(62) for _ in range(bits)]
+    fps = centres + [c ^ (1 << i) for i, c in enumerate(centres)]  # the other segment has another bit that differs
+    fps = [x ^ (1 << (bits + i % 20)) if i >= bits else x for i, x in enumerate(fps)]
+    distinct = spark.createDataFrame([(i, [x]) for i, x in enumerate(fps)], "id long, fp array<long>")
+    found = {r.node: r.component for r in simhash.components(distinct, 1, 2, bits, 1, 3).collect()}
+    assert found == {i: i % bits for i in range(2 * bits)}
+    assert dealt == [2 * 2 * len(fps)]
+
+
 def test_near_duplicates_edges(spark):
     text = sentence(9, 200)
     texts = [text, text + " more", None, "", text.upper(), sentence(10, 200)]
