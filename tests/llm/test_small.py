@@ -220,6 +220,29 @@ def test_line_similarity_against_brute_force(spark, monkeypatch, longest):
     assert found <= near and (240, 241) in found and len(found) >= (len(near) if longest else 0.95 * len(near)) and len(near) > 60
 
 
+def test_edits_are_counted_after_pairs_are_dealt(spark):
+    texts = spark.createDataFrame([(i, sentence(i % 2, 9)) for i in range(4)], "h1 long, line string")
+    found = line_dedup._similar(spark.createDataFrame([(0, 2), (0, 3)], "a long, b long"), texts, 0.8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("levenshtein") < plan.index("REPARTITION_BY_NUM") and "levenshtein" not in plan[plan.index("REPARTITION_BY_NUM") :]
+    assert [tuple(r) for r in found.collect()] == [(0, 2)]
+
+
+def test_pairs_of_a_crowded_bucket_are_found_by_hubs_first(spark, monkeypatch):
+    """All lines are alike but the first, which hides it: the square of their number is never looked at."""
+    for name in ("line_dedup.FULL", "links.FULL"):
+        monkeypatch.setattr(f"larkbase.llm.{name}", 8)
+    left, settled = [], links._settled
+    monkeypatch.setattr(links, "_settled", lambda pairs, *rest: left.append(pairs.count()) or settled(pairs, *rest))
+    pick = random.Random(3)
+    passage = " ".join("".join(pick.choice("abcdefghijklmnopqrst") for _ in range(9)) for _ in range(12))
+    tail = lambda n: " ".join("".join(pick.choice("abcdefghijklmnopqrst") for _ in range(5)) for _ in range(n))
+    texts = [f"{passage} {tail(12)}" for _ in range(4)] + [f"{passage} {tail(2)}" for _ in range(60)]
+    rows = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(frame(spark, texts)).collect()}
+    assert [rows[i] for i in range(64)] == [0] * 4 + [0] + [1] * 59
+    assert left[-1] < 250, left
+
+
 def test_lines_of_a_crowded_bucket_find_each_other(spark, monkeypatch):
     """Many lines begin with the same long words; those that are alike besides are linked all the same, the others are not."""
     monkeypatch.setattr(line_dedup, "FULL", 8)
