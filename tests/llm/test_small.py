@@ -229,7 +229,7 @@ def test_edits_are_counted_after_pairs_are_dealt(spark):
 
 
 def test_pairs_of_a_crowded_bucket_are_found_by_hubs_first(spark, monkeypatch):
-    """All lines are alike but the first, which hides it: the square of their number is never looked at."""
+    """All lines are alike but four, one of which is the smallest of the bucket: the square of their number is never looked at."""
     for name in ("line_dedup.FULL", "links.FULL"):
         monkeypatch.setattr(f"larkbase.llm.{name}", 8)
     left, settled = [], links._settled
@@ -237,7 +237,8 @@ def test_pairs_of_a_crowded_bucket_are_found_by_hubs_first(spark, monkeypatch):
     pick = random.Random(3)
     passage = " ".join("".join(pick.choice("abcdefghijklmnopqrst") for _ in range(9)) for _ in range(12))
     tail = lambda n: " ".join("".join(pick.choice("abcdefghijklmnopqrst") for _ in range(5)) for _ in range(n))
-    texts = [f"{passage} {tail(12)}" for _ in range(4)] + [f"{passage} {tail(2)}" for _ in range(60)]
+    smallest = sorted((f"{passage} {tail(12)}" for _ in range(400)), key=lambda x: (xxhash.xxh64_intdigest(x, 42) + 2**63) % 2**64)
+    texts = smallest[:4] + [f"{passage} {tail(2)}" for _ in range(60)]
     rows = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(frame(spark, texts)).collect()}
     assert [rows[i] for i in range(64)] == [0] * 4 + [0] + [1] * 59
     assert left[-1] < 250, left
